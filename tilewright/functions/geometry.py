@@ -259,22 +259,6 @@ def point_in_polygon(x, y, rings: Column) -> Column:
     return F.aggregate(edges, F.lit(False), lambda acc, s: acc != crosses(s))
 
 
-def valid_topology(rings: Column) -> Column:
-    """No ring crosses itself other than at the ends of its edges."""
-
-    def clean(ring: Column) -> Column:
-        edges = segments(ring, True)
-
-        def bad(s: Column, o: Column) -> Column:
-            hit = intersection((s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]), (o["a"]["x"], o["a"]["y"], o["b"]["x"], o["b"]["y"]))
-            at_end = lambda p: (hit["x"] == round8(p["x"])) & (hit["y"] == round8(p["y"]))
-            return hit["hit"] & ~at_end(s["a"]) & ~at_end(s["b"])
-
-        return ~F.exists(edges, lambda s: F.exists(edges, lambda o: bad(s, o)))
-
-    return F.forall(rings, clean)
-
-
 # Text.
 
 

@@ -1,8 +1,16 @@
-"""Arrow-batched functions for geometry that Column expressions cannot express, and the binary codecs."""
+"""Arrow-batched functions for geometry that Column expressions cannot express, and the binary codecs.
+
+Vertices travel as flat coordinate arrays with offsets. A null geometry gives a
+null result; vertices with a null coordinate are passed over.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,58 +18,94 @@ from tilewright.kernels import geometry as k
 from tilewright.kernels import mvt, wkb
 from tilewright.types import GEOM_DDL, RINGS_DDL
 
+Rings = list[list[tuple[float, float]]]
+
+
+def unpack_rings(rings: pa.Array) -> list[Rings | None]:
+    """Python rings of an array of lists of lines."""
+    n = pc.list_value_length(rings).to_pylist()
+    lines = rings.flatten()
+    m = pc.fill_null(pc.list_value_length(lines), 0).to_pylist()
+    xs, ys = (v.to_pylist() for v in lines.flatten().flatten())
+    vertices = list(zip(xs, ys, strict=True))
+    if pa.types.is_null(lines.type):
+        return [None if c is None else [] for c in n]
+    holes = None in xs or None in ys
+    flat, at = [], 0
+    for size in m:
+        line = vertices[at : at + size]
+        flat.append([v for v in line if None not in v] if holes else line)
+        at += size
+    out, at = [], 0
+    for count in n:
+        out.append(None if count is None else flat[at : at + count])
+        at += count or 0
+    return out
+
 
-def tuples(rings) -> list[list[tuple[float, float]]]:
-    """Plain rings of (x, y) from what Arrow hands over."""
-    return [[(p["x"], p["y"]) for p in ring] for ring in rings]
+def unpack(geoms: pa.Array) -> list[tuple[int, Rings] | None]:
+    typ, rings = geoms.flatten()
+    return [None if t is None or r is None else (t, r) for t, r in zip(typ.to_pylist(), unpack_rings(rings), strict=True)]
 
 
-def cells(rings) -> list[list[dict]]:
-    return [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]
+def _offsets(sizes) -> pa.Array:
+    return pa.array(list(accumulate(sizes, initial=0)), pa.int32())
 
 
-def _each(frame: pd.DataFrame, f) -> list:
-    return [None if r is None else f(int(t), tuples(r)) for t, r in zip(frame["typ"], frame["rings"], strict=True)]
+def pack_rings(rows: list[Rings | None]) -> pa.Array:
+    lines = [line for r in rows if r is not None for line in r]
+    v = np.array([p for line in lines for p in line], np.float64).reshape(-1, 2)
+    vertices = pa.StructArray.from_arrays([pa.array(v[:, 0]), pa.array(v[:, 1])], names=["x", "y"])
+    inner = pa.ListArray.from_arrays(_offsets(map(len, lines)), vertices)
+    mask = pa.array([r is None for r in rows]) if None in rows else None
+    return pa.ListArray.from_arrays(_offsets(len(r or []) for r in rows), inner, mask=mask)
 
 
-def _geoms(frame: pd.DataFrame, f) -> pd.DataFrame:
+def pack(rows: list[tuple[int, Rings] | None]) -> pa.Array:
+    mask = pa.array([r is None for r in rows]) if None in rows else None
+    typ = pa.array([None if r is None else r[0] for r in rows], pa.int32())
+    return pa.StructArray.from_arrays([typ, pack_rings([None if r is None else r[1] for r in rows])], names=["typ", "rings"], mask=mask)
+
+
+def _reshape(f):
     """f: (typ, rings) to rings; the type stays."""
-    rings = [None if r is None else cells(f(int(t), tuples(r))) for t, r in zip(frame["typ"], frame["rings"], strict=True)]
-    return pd.DataFrame({"typ": frame["typ"], "rings": rings})
+    return F.arrow_udf(lambda geoms: pack([None if r is None else (r[0], f(*r)) for r in unpack(geoms)]), GEOM_DDL)
 
 
-def simplify(g: Column, tolerance: float) -> Column:
-    """Lines only; points and polygons come back as they are."""
+def _measure(f, kind: str, arrow: pa.DataType):
+    return F.arrow_udf(lambda geoms: pa.array([None if r is None else f(*r) for r in unpack(geoms)], arrow), kind)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _geoms(frame, lambda t, r: [k.simplify(line, tolerance) for line in r] if t == 2 else r)
 
-    return F.pandas_udf(run, GEOM_DDL)(g)
+def simplify(g: Column, tolerance: float) -> Column:
+    """Lines only; points and polygons come back as they are."""
+    return _reshape(lambda t, r: [k.simplify(line, tolerance) for line in r] if t == 2 else r)(g)
 
 
 def fix_winding(g: Column) -> Column:
     """Polygons with counter-clockwise outer rings and clockwise holes (y upwards)."""
+    return _reshape(lambda t, r: k.fix_winding(r) if t == 3 else r)(g)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _geoms(frame, lambda t, r: k.fix_winding(r) if t == 3 else r)
 
-    return F.pandas_udf(run, GEOM_DDL)(g)
+def valid_topology(g: Column) -> Column:
+    """Whether no ring of a polygon crosses itself; other types always pass."""
+    return _measure(lambda t, r: t != 3 or k.valid_topology(r), "boolean", pa.bool_())(g)
 
 
 def clip(g: Column, box: Column) -> Column:
-    """Array of geometries of the same type: what of the geometry lies in the closed box. Null geometries give an empty array."""
+    """Array of geometries of the same type: what of the geometry lies in the closed box. A null geometry or box gives an empty array."""
 
-    def run(frame: pd.DataFrame, boxes: pd.DataFrame) -> pd.Series:
-        out = []
-        for t, r, b in zip(frame["typ"], frame["rings"], boxes.itertuples(index=False), strict=True):
-            parts = [] if r is None or pd.isna(t) else clip_rings(int(t), tuples(r), (b.minx, b.miny, b.maxx, b.maxy))
-            out.append([{"typ": int(t), "rings": cells(p)} for p in parts])
-        return pd.Series(out)
+    def run(geoms: pa.Array, boxes: pa.Array) -> pa.Array:
+        out, sizes = [], []
+        for r, b in zip(unpack(geoms), boxes.to_pylist(), strict=True):
+            parts = [] if r is None or b is None else clip_rings(*r, (b["minx"], b["miny"], b["maxx"], b["maxy"]))
+            out += [(r[0], p) for p in parts]
+            sizes.append(len(parts))
+        return pa.ListArray.from_arrays(_offsets(sizes), pack(out))
 
-    return F.pandas_udf(run, f"array<{GEOM_DDL}>")(g, box)
+    return F.arrow_udf(run, f"array<{GEOM_DDL}>")(g, box)
 
 
-def clip_rings(typ: int, rings, box) -> list:
+def clip_rings(typ: int, rings: Rings, box) -> list[Rings]:
     """Parts, each as rings."""
     if typ == 1:
         return [rings] if rings and rings[0] and box[0] <= rings[0][0][0] <= box[2] and box[1] <= rings[0][0][1] <= box[3] else []
@@ -71,40 +115,31 @@ def clip_rings(typ: int, rings, box) -> list:
 
 
 def to_wkb(g: Column) -> Column:
-    return F.pandas_udf(lambda frame: pd.Series(_each(frame, wkb.wkb_encode)), "binary")(g)
+    return _measure(wkb.wkb_encode, "binary", pa.binary())(g)
 
 
-def _decoded(data: pd.Series, f) -> pd.DataFrame:
-    got = [(None, None) if d is None else f(bytes(d)) for d in data]
-    return pd.DataFrame({"typ": pd.array([t for t, _ in got], "Int32"), "rings": [None if r is None else cells(r) for _, r in got]})
+def to_twkb(g: Column, precision: int = 0) -> Column:
+    """Points and lines with so many decimals."""
+    return _measure(lambda t, r: wkb.twkb_encode(t, r[0], precision), "binary", pa.binary())(g)
 
 
 def from_wkb(data: Column) -> Column:
-    return F.pandas_udf(lambda d: _decoded(d, wkb.wkb_decode), GEOM_DDL)(data)
-
-
-def to_twkb(g: Column, precision: int = 0) -> Column:
-    """Points and lines with so many decimals."""
-    return F.pandas_udf(lambda frame: pd.Series(_each(frame, lambda t, r: wkb.twkb_encode(t, r[0], precision))), "binary")(g)
+    return F.arrow_udf(lambda d: pack([None if x is None else wkb.wkb_decode(x) for x in d.to_pylist()]), GEOM_DDL)(data)
 
 
 def from_twkb(data: Column) -> Column:
-    def one(d: bytes):
+    def one(d: bytes) -> tuple[int, Rings]:
         t, line = wkb.twkb_decode(d)
         return t, [line]
 
-    return F.pandas_udf(lambda d: _decoded(d, one), GEOM_DDL)(data)
+    return F.arrow_udf(lambda d: pack([None if x is None else one(x) for x in d.to_pylist()]), GEOM_DDL)(data)
 
 
 def tile_commands(g: Column) -> Column:
     """Command integers of a geometry in tile coordinates."""
-    return F.pandas_udf(lambda frame: pd.Series(_each(frame, mvt.geometry_commands)), "array<bigint>")(g)
+    return _measure(mvt.geometry_commands, "array<bigint>", pa.list_(pa.int64()))(g)
 
 
 def merged_lines(lines: Column) -> Column:
     """Array of lines with end-to-start neighbours joined."""
-
-    def run(col: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else cells(k.merge_lines([line for line in tuples(v) if line])) for v in col])
-
-    return F.pandas_udf(run, RINGS_DDL)(lines)
+    return F.arrow_udf(lambda rows: pack_rings([None if r is None else k.merge_lines([line for line in r if line]) for r in unpack_rings(rows)]), RINGS_DDL)(lines)

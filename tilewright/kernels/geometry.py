@@ -44,6 +44,44 @@ def simplify(line: Line, tolerance: float) -> Line:
     return [line[i] for i in sorted(keep)]
 
 
+def round8(v: float) -> float:
+    """To 8 decimals, halves away from zero."""
+    if abs(v) >= 4e7:
+        return v
+    return (math.ceil(v * 1e8 - 0.5) if v < 0 else math.floor(v * 1e8 + 0.5)) / 1e8
+
+
+def crossing(s: tuple[Point, Point], t: tuple[Point, Point]) -> Point | None:
+    """Common point of two segments, rounded to 8 decimals; None for parallels."""
+    (ax, ay), (bx, by) = s
+    (cx, cy), (dx, dy) = t
+    det = (ay - by) * (dx - cx) - (bx - ax) * (cy - dy)
+    if det == 0:
+        return None
+    m, n = bx * ay - ax * by, dx * cy - cx * dy
+    x, y = round8((m * (dx - cx) - (bx - ax) * n) / det), round8(((ay - by) * n - m * (cy - dy)) / det)
+    for (x1, y1), (x2, y2) in (s, t):
+        x1, x2, y1, y2 = round8(x1), round8(x2), round8(y1), round8(y2)
+        if not (min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2)):
+            return None
+    return x, y
+
+
+def valid_topology(rings: list[Line]) -> bool:
+    """No edge of a ring meets another of it but at its own ends. Edges are swept from west to east."""
+    for ring in rings:
+        edges = sorted((min(a[0], b[0]), max(a[0], b[0]), (a, b)) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+        active: list[tuple[float, tuple[Point, Point]]] = []
+        for west, east, edge in edges:
+            active = [o for o in active if o[0] >= west - 1e-8]
+            for _, other in active:
+                hit = crossing(edge, other)
+                if hit and any(hit not in [(round8(x), round8(y)) for x, y in e] for e in (edge, other)):
+                    return False
+            active.append((east, edge))
+    return True
+
+
 def in_ring(p: Point, ring: Line) -> bool:
     inside = False
     x, y = p
@@ -159,7 +197,8 @@ def shells(rings: list[Line]) -> list[list[Line]]:
     Repeated vertices and rings of fewer than three are left out; outer rings come
     out counter-clockwise (y upwards), holes clockwise.
     """
-    rings = [[p for i, p in enumerate(r) if p != r[i - 1] or len(r) == 1] for r in rings]
+    rings = [[p for i, p in enumerate(r) if i == 0 or p != r[i - 1]] for r in rings]
+    rings = [r[:-1] if len(r) > 1 and r[0] == r[-1] else r for r in rings]
     rings = [r for r in rings if len(r) > 2]
     around = [[m for m, other in enumerate(rings) if m != n and in_ring(r[0], other)] for n, r in enumerate(rings)]
     out = {n: [r if signed_area2(r) > 0 else r[::-1]] for n, r in enumerate(rings) if len(around[n]) % 2 == 0}
@@ -172,7 +211,33 @@ def shells(rings: list[Line]) -> list[list[Line]]:
 
 def clip_polygon(rings: list[Line], box: Box) -> list[list[Line]]:
     """Polygon (even-odd rule) and box in common, as polygons: first ring outer (counter-clockwise, y upwards), others holes (clockwise)."""
-    return [part for polygon in shells(rings) for part in _clip_simple(polygon, box)]
+    out = []
+    for polygon in shells(rings):
+        parts = _clip_simple(polygon, box)
+        if len(parts) != 1 or parts[0] is not polygon:
+            cut = [q for ring in polygon if (q := _halfplanes(ring, box))]
+            area = sum(map(signed_area2, cut))
+            if abs(sum(signed_area2(r) for part in parts for r in part) - area) > 1e-9 * (box[2] - box[0]) * (box[3] - box[1]):
+                parts = [cut] if cut else []  # rings that cross themselves or each other
+        out += parts
+    return out
+
+
+def _halfplanes(ring: Line, box: Box) -> Line:
+    """Ring cut at one side of the box after the other. Keeps the signed area of any ring, but joins separate parts along the border."""
+    for axis, limit, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
+        cut: Line = []
+        for i in range(len(ring)):
+            a, b = ring[i - 1], ring[i]
+            a_in, b_in = (a[axis] - limit) * sign >= 0, (b[axis] - limit) * sign >= 0
+            if a_in != b_in:
+                t = (limit - a[axis]) / (b[axis] - a[axis])
+                other = a[1 - axis] + t * (b[1 - axis] - a[1 - axis])
+                cut.append((limit, other) if axis == 0 else (other, limit))
+            if b_in:
+                cut.append(b)
+        ring = [p for i, p in enumerate(cut) if p != cut[i - 1]]
+    return ring if len(ring) > 2 else []
 
 
 def _clip_simple(rings: list[Line], box: Box) -> list[list[Line]]:

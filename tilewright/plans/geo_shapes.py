@@ -140,8 +140,9 @@ def fix_winding(spark: SparkSession, d: str) -> DataFrame:
 
 def valid_topology(spark: SparkSession, d: str) -> DataFrame:
     """Polygons of the feature table with and without a ring that crosses itself."""
+    ship(spark)
     f = table(spark, d, "features").where("geom.typ = 3 and size(geom.rings) > 0")
-    return f.select("feature_id", g.valid_topology(F.col("geom.rings")).alias("valid"))
+    return f.select("feature_id", shapes.valid_topology(F.col("geom")).alias("valid"))
 
 
 def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
@@ -190,6 +191,17 @@ def _cross_point(box: tuple, edge: tuple) -> str:
     return f"SELECT c_custkey, ix, iy FROM (SELECT *, {x} AS ix, {y} AS iy FROM sg) WHERE {on}"
 
 
+def _meets() -> str:
+    """Edges of one ring that meet elsewhere than at an end of the first."""
+    det = "nullif((a.y1 - a.y2) * (b.x2 - b.x1) - (a.x2 - a.x1) * (b.y1 - b.y2), 0)"
+    m, n = "(a.x2 * a.y1 - a.x1 * a.y2)", "(b.x2 * b.y1 - b.x1 * b.y2)"
+    x, y = r8(f"(({m} * (b.x2 - b.x1) - (a.x2 - a.x1) * {n}) / {det})"), r8(f"(((a.y1 - a.y2) * {n} - {m} * (b.y1 - b.y2)) / {det})")
+    on = " AND ".join(f"i{v} BETWEEN least({r8(f'{e}{v}1')}, {r8(f'{e}{v}2')}) AND greatest({r8(f'{e}{v}1')}, {r8(f'{e}{v}2')})" for e in ("a", "b") for v in "xy")
+    ends = " OR ".join(f"(ix = {r8(f'ax{k}')} AND iy = {r8(f'ay{k}')})" for k in (1, 2))
+    names = ", ".join(f"{e}.{v}{k} AS {e}{v}{k}" for e in "ab" for v in "xy" for k in (1, 2))
+    return f"SELECT DISTINCT r FROM (SELECT a.r, {names}, {x} AS ix, {y} AS iy FROM e a JOIN e b ON a.r = b.r AND a.no = b.no AND a.i <> b.i) WHERE {on} AND NOT ({ends})"
+
+
 _DIAGONALS = [(BOX[0], BOX[1], BOX[2], BOX[3]), (BOX[0], BOX[3], BOX[2], BOX[1])]
 _TWO = [S1, ("x2", "y2", "x3", "y3")]
 _CHORD = "(CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE greatest(0.0, least(1.0, ((x3 - x1) * (x2 - x1) + (y3 - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0))) END)"
@@ -217,6 +229,13 @@ a AS (SELECT q.feature_id, q.no, e.no AS other FROM q JOIN e ON q.feature_id = e
   AND q.ring[1].x < (x2 - x1) * (q.ring[1].y - y1) / nullif(y2 - y1, 0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
 depth AS (SELECT feature_id, no, count(*) AS n FROM a GROUP BY ALL)
 SELECT feature_id, round(sum(abs({area_sql('ring')}) * CASE WHEN coalesce(n, 0) % 2 = 0 THEN 1 ELSE -1 END), 8) AS area2 FROM q LEFT JOIN depth USING (feature_id, no) GROUP BY feature_id""",
+    "valid_topology": f"""WITH p AS (SELECT row_number() OVER () AS r, feature_id, geom.rings AS rings FROM features WHERE geom.typ = 3 AND len(geom.rings) > 0),
+q AS (SELECT r, no, rings[no] AS ring FROM (SELECT r, rings, unnest(range(1, len(rings) + 1)) AS no FROM p)),
+e AS (SELECT r, no, i, ring[i].x AS x1, ring[i].y AS y1, ring[i % len(ring) + 1].x AS x2, ring[i % len(ring) + 1].y AS y2 FROM (SELECT *, unnest(range(1, len(ring) + 1)) AS i FROM q)),
+bad AS ({_meets()})
+SELECT feature_id, bad.r IS NULL AS valid FROM p LEFT JOIN bad USING (r)""",
+    "merge_lines": f"""WITH {WAYS}, u AS (SELECT id AS way_id, list_filter(line, lambda p, i: list_position(line, p) = i) AS line FROM wl WHERE len(line) > 1)
+SELECT way_id, CASE WHEN len(line) > 1 THEN 1 ELSE 0 END AS n_lines, round({_SUM("sqrt(pow(line[i % len(line) + 1].x - line[i].x, 2) + pow(line[i % len(line) + 1].y - line[i].y, 2))")}, 5) AS length FROM u""",
     "simplify_three": f"WITH {SEGMENTS} SELECT c_custkey, CASE WHEN {_MIDDLE} > {TOLERANCE} THEN 3 ELSE 2 END AS n_after FROM sg",
     "fix_winding": f"WITH {RINGS} SELECT feature_id, true AS positive, round(abs({area_sql('ring')}), 9) AS area2 FROM rg WHERE typ = 3 AND ring_no = 0 AND len(ring) > 2",
     "point_in_polygon": """WITH b AS (SELECT row_number() OVER () AS r, feature_id, geom.rings AS rings, flatten(geom.rings) AS v FROM features WHERE geom.typ = 3 AND len(flatten(geom.rings)) > 2),

@@ -128,8 +128,8 @@ def clip_segment(a: Point, b: Point, box: Box) -> tuple[Point, Point] | None:
         return None
 
     def at(t: float, side: tuple[int, float] | None, end: Point) -> Point:
-        if side is None:
-            return end
+        if side is None:  # inside but for rounding
+            return min(max(end[0], box[0]), box[2]), min(max(end[1], box[1]), box[3])
         p = [min(max(a[i] + t * d[i], box[i]), box[i + 2]) for i in (0, 1)]
         p[side[0]] = side[1]
         return p[0], p[1]
@@ -237,6 +237,7 @@ def _halfplanes(ring: Line, box: Box) -> Line:
             if b_in:
                 cut.append(b)
         ring = [p for i, p in enumerate(cut) if p != cut[i - 1]]
+    ring = [(min(max(x, box[0]), box[2]), min(max(y, box[1]), box[3])) for x, y in ring]  # rounding of cut points
     return ring if len(ring) > 2 else []
 
 

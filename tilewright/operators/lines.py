@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.kernels.repair import NUMBER, parse
+from tilewright.operators.skew import fresh
 from tilewright.session import ship
 
 #: The fields of a gazetteer line in order, with their types.
@@ -67,13 +68,22 @@ def typed(fields: Column, schema=GAZETTEER) -> list[Column]:
     return out
 
 
+def _kept(df: DataFrame, keep: list[str], line: str, taken: list[str]) -> tuple[DataFrame, list[str]]:
+    """``keep`` and the line alone; kept columns named like one of the output get ``_source`` behind their name."""
+    lower = {t.lower() for t in taken}
+    names = [fresh([*taken, *keep], c + "_source") if c.lower() in lower else c for c in keep]
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{line}`").alias("_line")), names
+
+
 def load_lines(df: DataFrame, keep: list[str], line: str = "line", schema=GAZETTEER, ranges=RANGES) -> DataFrame:
     """The valid lines as ``keep`` and the typed columns of the schema."""
-    got = parse_lines(df, line, schema, ranges).where(F.col("_reason").isNull())
-    return got.select(*keep, *typed(F.col("_fields"), schema))
+    df, names = _kept(df, keep, line, [n for n, _ in schema])
+    got = parse_lines(df, "_line", schema, ranges).where(F.col("_reason").isNull())
+    return got.select(*[f"`{c}`" for c in names], *typed(F.col("_fields"), schema))
 
 
 def rejected_lines(df: DataFrame, keep: list[str], line: str = "line", schema=GAZETTEER, ranges=RANGES) -> DataFrame:
     """The lines put aside: ``keep``, ``reason``, ``edits``."""
-    got = parse_lines(df, line, schema, ranges).where(F.col("_reason").isNotNull())
-    return got.select(*keep, F.col("_reason").alias("reason"), F.col("_edits").alias("edits"))
+    df, names = _kept(df, keep, line, ["reason", "edits"])
+    got = parse_lines(df, "_line", schema, ranges).where(F.col("_reason").isNotNull())
+    return got.select(*[f"`{c}`" for c in names], F.col("_reason").alias("reason"), F.col("_edits").alias("edits"))

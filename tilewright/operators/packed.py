@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators.skew import fresh
+
 #: Separators of packed fields, plain and full-width.
 SEPARATORS = ",;|，；｜"
 #: Characters that are scored as possible separators.
@@ -37,8 +39,13 @@ def pieces(text: Column, separators: str = SEPARATORS) -> Column:
 
 
 def split_packed(df: DataFrame, field: str, keep: list[str], separators: str = SEPARATORS) -> DataFrame:
-    """``keep`` columns, ``pos`` (from 0) and ``item``: one row per value. Null, empty and all-empty fields give no row."""
-    return df.select(*keep, F.posexplode(pieces(F.col(field), separators)).alias("pos", "item"))
+    """``keep`` columns, ``pos`` (from 0) and ``item``: one row per value; repeated rows give theirs again.
+
+    Null, empty and all-empty fields give no row. Kept columns named pos or item get ``_source`` behind their name.
+    """
+    names = [fresh([*keep, "pos", "item"], c + "_source") if c.lower() in ("pos", "item") else c for c in keep]
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)]
+    return df.select(*kept, F.posexplode(pieces(F.col(f"`{field}`"), separators)).alias("pos", "item"))
 
 
 def delimiter_scores(df: DataFrame, field: str, source: str, candidates: str = CANDIDATES) -> DataFrame:
@@ -52,8 +59,8 @@ def delimiter_scores(df: DataFrame, field: str, source: str, candidates: str = C
     a source of any size costs one partial row per task and candidate. A null
     source is a source of its own.
     """
-    bare = F.array_join(F.transform(F.split(F.col(field), '"', -1), lambda s, i: F.when(i % 2 == 0, s).otherwise("q")), "")
-    base = df.where(F.col(field).isNotNull() & (F.col(field) != "")).select(F.col(source).alias("source"), bare.alias("t"))
+    bare = F.array_join(F.transform(F.split(F.col(f"`{field}`"), '"', -1), lambda s, i: F.when(i % 2 == 0, s).otherwise("q")), "")
+    base = df.where(F.col(f"`{field}`").isNotNull() & (F.col(f"`{field}`") != "")).select(F.col(f"`{source}`").alias("source"), bare.alias("t"))
     regular = lambda p: F.trim(p).rlike(r"\A[\p{L}\p{M}\p{N}][^/:]*[\p{L}\p{M}\p{N})']\z")
     each = F.array(*[F.struct(F.lit(c).alias("delimiter"), F.split(F.col("t"), "\\" + c if c in "|-" else c, -1).alias("p")) for c in candidates])
     rows = base.select("source", F.inline(each)).select("source", "delimiter", F.size("p").alias("n"), F.size(F.filter("p", regular)).alias("ok"))

@@ -41,43 +41,54 @@ def bounded(spark, small: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, small.schema)
 
 
+def fresh(taken: list[str], base: str) -> str:
+    """``base``, with underscores added until no column is named so (in any case)."""
+    lower = {c.lower() for c in taken}
+    while base.lower() in lower:
+        base += "_"
+    return base
+
+
 def aggregate_by_key(df: DataFrame, key: str, aggs: list[Column], merges: list[Column], heavy: DataFrame, salts: int = 32) -> DataFrame:
     """Per-key aggregates: heavy keys spread over ``salts`` partial groups, the rest by an ordinary shuffle, then united.
 
-    ``aggs`` are partial aggregates, ``merges`` combine their output columns. The
-    null key is one ordinary group. Heavy rows are recognised by a broadcast join
-    with the bounded list.
+    ``aggs`` are partial aggregates, ``merges`` combine their output columns. Null
+    keys form one group like the others. Heavy rows are recognised by a broadcast
+    join with the bounded list. An empty table gives no group; columns of ``df``
+    may have any names.
     """
-    marked = df.join(F.broadcast(heavy.select(F.col(key), F.lit(True).alias("_heavy"))), key, "left")
-    names = [key]
-    light = marked.where(F.col("_heavy").isNull()).groupBy(*names).agg(*aggs)
-    light = light.groupBy(*names).agg(*merges)
-    hot = marked.where(F.col("_heavy")).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if not _map(df, c)]), F.lit(salts)))
-    hot = hot.groupBy(key, "_salt").agg(*aggs).groupBy(key).agg(*merges)
+    flag, salt = fresh(df.columns, "_heavy"), fresh(df.columns, "_salt")
+    marked = df.join(F.broadcast(heavy.select(F.col(key), F.lit(True).alias(flag))), key, "left")
+    light = marked.where(F.col(flag).isNull()).groupBy(key).agg(*aggs).groupBy(key).agg(*merges)
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    hot = marked.where(F.col(flag)).withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(salts)))
+    hot = hot.groupBy(key, salt).agg(*aggs).groupBy(key).agg(*merges)
     return light.unionByName(hot)
 
 
-def _map(df: DataFrame, column: str) -> bool:
-    return "map<" in dict(df.dtypes)[column]
-
-
 def skew_join(fact: DataFrame, dim: DataFrame, key: str, heavy: DataFrame, how: str = "left") -> DataFrame:
     """``fact`` joined to ``dim`` (unique ``key``): heavy keys by broadcast, the rest by shuffle, united.
 
     The broadcast part of ``dim`` has at most one row per heavy key. A null key
-    matches nothing and keeps its row in a left join, spread over the light
-    join by a random-free filter before the shuffle.
+    matches nothing; a left join keeps its row without sending it through a
+    shuffle. Columns of ``dim`` that ``fact`` has too get ``_dim`` behind their name.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be left or inner")
+    taken = list(fact.columns)
+    names = {}
+    for c in dim.columns:
+        if c != key:
+            names[c] = fresh(taken, c + "_dim") if c.lower() in {t.lower() for t in taken} else c
+            taken.append(names[c])
+    dim = dim.select(F.col(f"`{key}`"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     h = F.broadcast(heavy.select(key))
-    is_null = fact.where(F.col(key).isNull())
     hot = fact.join(h, key, "left_semi").join(F.broadcast(dim.join(h, key, "left_semi")), key, how)
-    light_fact = fact.where(F.col(key).isNotNull()).join(h, key, "left_anti")
+    light_fact = fact.where(F.col(f"`{key}`").isNotNull()).join(h, key, "left_anti")
     out = hot.unionByName(light_fact.join(dim.join(h, key, "left_anti"), key, how))
     if how == "left":
         extra = [F.lit(None).cast(t).alias(c) for c, t in dim.dtypes if c != key]
-        out = out.unionByName(is_null.select(key, *[c for c in fact.columns if c != key], *extra))
+        out = out.unionByName(fact.where(F.col(f"`{key}`").isNull()).select("*", *extra))
     return out
 
 

@@ -80,8 +80,8 @@ def widen(rows: DataFrame, schema: list[tuple[str, int]], entity: str = "feature
     spark = rows.sparkSession
     attribute = F.lower(F.trim("key"))
     names = [a for a, _ in schema]
-    if len(set(names)) != len(names):
-        raise ValueError("an attribute occurs twice in the schema")
+    if len(set(names)) != len(names) or entity in names:
+        raise ValueError("an attribute occurs twice in the schema or is named like the entity")
     spine = rows.where(F.col(entity).isNotNull()).select(entity)
     mine = rows.select(entity, "seq", attribute.alias("attr"), "value", "type").where(F.col(entity).isNotNull() & F.col("attr").isin(names))
     if not keep_all:
@@ -114,10 +114,10 @@ def widen(rows: DataFrame, schema: list[tuple[str, int]], entity: str = "feature
         half = (len(part) + 1) // 2
         return node(part[:half]).join(node(part[half:]), entity, "inner")
 
-    return node(schema).select(entity, *names)
+    return node(schema).select(entity, *[f"`{n}`" for n in names])
 
 
 def cells(wide: DataFrame, schema: list[tuple[str, int]], entity: str = "feature_id") -> DataFrame:
     """Filled cells as ``(entity, tag_key, val)`` text, integers in plain decimal form."""
-    pairs = [F.struct(F.lit(name).alias("tag_key"), F.col(name).cast("string").alias("val")) for name, _ in schema]
+    pairs = [F.struct(F.lit(name).alias("tag_key"), F.col(f"`{name}`").cast("string").alias("val")) for name, _ in schema]
     return wide.select(entity, F.inline(F.array(*pairs))).where(F.col("val").isNotNull())

@@ -111,3 +111,15 @@ def test_properties_are_equal_whatever_their_order(spark):
     c = F.create_map(F.lit("b"), prop("string", "1"), F.lit("a"), prop("double", 1.0))
     r = one(spark, props_key(a), props_key(b), props_key(c))
     assert r[0] == r[1] != r[2]
+
+
+def test_sql_names(spark):
+    from tilewright.functions import registry
+
+    registry.register(spark)
+    r = spark.sql(
+        "select tile_x(13.7363d, 14), tile_y(51.05377d, 14), tile_x(cast(null as double), 3), round(haversine_m(7.06659d, 50.88354d, 6.96299d, 50.93846d)), bearing(-10, 0, 0, 0),"
+        " round8(-5.4213000001d), ring_area2(array(named_struct('x', 0d, 'y', 0d), named_struct('x', 1d, 'y', 0d), named_struct('x', 1d, 'y', 1d), named_struct('x', 0d, 'y', 1d))),"
+        " hex(to_wkb(named_struct('typ', 1, 'rings', array(array(named_struct('x', 1d, 'y', 2d))))))"
+    ).first()
+    assert tuple(r)[:7] == (8817, 5481, None, 9490, 90, -5.4213, 2) and r[7] == "0101000000000000000000F03F0000000000000040"

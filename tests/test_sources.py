@@ -118,3 +118,18 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in/b.geojsonseq").write_text(f"\x1e{feature('a')}\n")
     write_batches(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert formats.read_features(spark, str(tmp_path / "out"), "featureblocks").count() == 2
+
+
+def test_programs(spark, tmp_path, capsys):
+    from tilewright.__main__ import box, main, zooms
+
+    assert zooms("3, 1,,3") == [1, 3] and box("1,2,3,4") == (1, 2, 3, 4)
+    (tmp_path / "a.geojson").write_text(json.dumps(COLLECTION))
+    (tmp_path / "m.yml").write_text('- {src: {key: a, value: "*"}, dest: [{key: b, value: "$a"}]}')
+    main(["convert", "--in", f"{tmp_path}/a.geojson,{tmp_path}/a.geojson", "--out", f"{tmp_path}/o.blocks", "--mapping", f"{tmp_path}/m.yml"], spark)
+    main(["inspect", f"{tmp_path}/o.blocks"], spark)
+    assert len(capsys.readouterr().out.splitlines()) == 8
+    main(["tile", "--in", f"{tmp_path}/o.blocks", "--out", f"{tmp_path}/tiles", "--zoom", "0,2", "--bbox=-10,-10,10,10"], spark)
+    assert (tmp_path / "tiles/0/0/0.mvt").exists()
+    main(["tile", "--in", f"{tmp_path}/o.blocks", "--out", f"{tmp_path}/json", "--zoom", "0", "--codec", "geojson"], spark)
+    assert len(json.loads((tmp_path / "json/0/0/0.geojson").read_text())["features"]) == 8

@@ -81,14 +81,31 @@ def simplify(g: Column, tolerance: float) -> Column:
     return _reshape(lambda t, r: [k.simplify(line, tolerance) for line in r] if t == 2 else r)(g)
 
 
+def udf_of(name: str):
+    """The function of one column as a user-defined function that can be registered."""
+    if name == "fix_winding":
+        return _reshape(lambda t, r: k.fix_winding(r) if t == 3 else r)
+    if name == "valid_topology":
+        return _measure(lambda t, r: t != 3 or k.valid_topology(r), "boolean", pa.bool_())
+    if name == "to_wkb":
+        return _measure(wkb.wkb_encode, "binary", pa.binary())
+    if name == "tile_commands":
+        return _measure(mvt.geometry_commands, "array<bigint>", pa.list_(pa.int64()))
+    if name == "from_wkb":
+        return F.arrow_udf(lambda d: pack([None if x is None else wkb.wkb_decode(x) for x in d.to_pylist()]), GEOM_DDL)
+    if name == "merged_lines":
+        return F.arrow_udf(lambda rows: pack_rings([None if r is None else k.merge_lines([line for line in r if line]) for r in unpack_rings(rows)]), RINGS_DDL)
+    raise ValueError(name)
+
+
 def fix_winding(g: Column) -> Column:
     """Polygons with counter-clockwise outer rings and clockwise holes (y upwards)."""
-    return _reshape(lambda t, r: k.fix_winding(r) if t == 3 else r)(g)
+    return udf_of("fix_winding")(g)
 
 
 def valid_topology(g: Column) -> Column:
     """Whether no ring of a polygon crosses itself; other types always pass."""
-    return _measure(lambda t, r: t != 3 or k.valid_topology(r), "boolean", pa.bool_())(g)
+    return udf_of("valid_topology")(g)
 
 
 def clip(g: Column, box: Column) -> Column:
@@ -115,7 +132,7 @@ def clip_rings(typ: int, rings: Rings, box) -> list[Rings]:
 
 
 def to_wkb(g: Column) -> Column:
-    return _measure(wkb.wkb_encode, "binary", pa.binary())(g)
+    return udf_of("to_wkb")(g)
 
 
 def to_twkb(g: Column, precision: int = 0) -> Column:
@@ -124,7 +141,7 @@ def to_twkb(g: Column, precision: int = 0) -> Column:
 
 
 def from_wkb(data: Column) -> Column:
-    return F.arrow_udf(lambda d: pack([None if x is None else wkb.wkb_decode(x) for x in d.to_pylist()]), GEOM_DDL)(data)
+    return udf_of("from_wkb")(data)
 
 
 def from_twkb(data: Column) -> Column:
@@ -137,9 +154,9 @@ def from_twkb(data: Column) -> Column:
 
 def tile_commands(g: Column) -> Column:
     """Command integers of a geometry in tile coordinates."""
-    return _measure(mvt.geometry_commands, "array<bigint>", pa.list_(pa.int64()))(g)
+    return udf_of("tile_commands")(g)
 
 
 def merged_lines(lines: Column) -> Column:
     """Array of lines with end-to-start neighbours joined."""
-    return F.arrow_udf(lambda rows: pack_rings([None if r is None else k.merge_lines([line for line in r if line]) for r in unpack_rings(rows)]), RINGS_DDL)(lines)
+    return udf_of("merged_lines")(lines)

@@ -12,6 +12,7 @@ MAX_LATITUDE = 85.0511287
 #: Radius of the spherical Mercator projection, metres.
 MERCATOR_RADIUS = 6378137.0
 EXTENT = 4096
+NEAR_POLE = 89.9999997
 
 
 def _c(x) -> Column:
@@ -77,7 +78,14 @@ def mercator_x(lon) -> Column:
 
 
 def mercator_y(lat) -> Column:
-    return F.ln(F.tan(F.lit(math.pi / 4) + F.radians(_c(lat)) / 2)) * MERCATOR_RADIUS
+    """The poles, which lie at infinity, count as the last thousandth of a second before them."""
+    near = F.greatest(F.lit(-NEAR_POLE), F.least(_c(lat), F.lit(NEAR_POLE)))
+    return F.when(_c(lat).isNotNull(), F.ln(F.tan(F.lit(math.pi / 4) + F.radians(near) / 2)) * MERCATOR_RADIUS)
+
+
+def latitude(my) -> Column:
+    """Inverse of :func:`mercator_y`."""
+    return F.degrees(2 * F.atan(F.exp(_c(my) / MERCATOR_RADIUS)) - math.pi / 2)
 
 
 def tile_point(lon, lat, minx, miny, maxx, maxy, extent=EXTENT) -> Column:

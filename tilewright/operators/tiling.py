@@ -16,7 +16,7 @@ from tilewright.functions import geometry as g
 from tilewright.functions import shapes, tiles
 from tilewright.functions.geojson import feature_json
 from tilewright.session import ship
-from tilewright.types import props_key
+from tilewright.types import point, props_key
 
 #: Zoom range of a feature without its own.
 MIN_ZOOM, MAX_ZOOM = 0, 99
@@ -43,14 +43,78 @@ def tile_rows(features: DataFrame, zooms: list[int], default_layer: str | None =
     """``z, x, y, layer`` and all columns of ``features``: a row per zoom and covered tile.
 
     Features without a vertex, not renderable at the zoom or without a layer give
-    none. The zoom test comes before the tiles are spelled out.
+    none. The zoom test comes before the tiles are spelled out, column by column, so
+    no row ever holds all its tiles. A column ``_within`` (struct z, x, y), if there is
+    one, keeps only tiles inside that tile.
     """
     zoom_list = F.array(*[F.lit(z) for z in sorted(set(zooms))]).cast("array<int>")
+    keep = [c for c in features.columns if c not in ("_within", "_zooms")]
     out = features.withColumn("_box", g.geom_bbox(F.col(geom))).where("_box is not null").withColumn("layer", layer_name(F.col(props), default_layer))
     out = out.where(F.col("layer").isNotNull() & (F.col("layer") != ""))
+    if "_zooms" in features.columns:  # a feature that was cut up shows each of its forms at some of the zooms
+        zoom_list = F.coalesce(F.col("_zooms"), zoom_list)
     out = out.withColumn("z", F.explode(zoom_list)).where(renderable(F.col(props), "z"))
-    out = out.withColumn("_t", F.explode(tiles.coverage(F.col("_box.minx"), F.col("_box.miny"), F.col("_box.maxx"), F.col("_box.maxy"), F.col("z"))))
-    return out.select("z", F.col("_t.x").alias("x"), F.col("_t.y").alias("y"), "layer", *features.columns)
+    x0, x1 = tiles.tile_x(F.col("_box.minx"), F.col("z")), tiles.tile_x(F.col("_box.maxx"), F.col("z"))
+    y0, y1 = tiles.tile_y(F.col("_box.maxy"), F.col("z")), tiles.tile_y(F.col("_box.miny"), F.col("z"))
+    if "_within" in features.columns:
+        side = F.pow(F.lit(2.0), F.col("z") - F.col("_within.z")).cast("int")
+        low = lambda v, n: F.greatest(v, F.coalesce(F.col(f"_within.{n}") * side, v))
+        high = lambda v, n: F.least(v, F.coalesce((F.col(f"_within.{n}") + 1) * side - 1, v))
+        out = out.where(F.col("_within").isNull() | (F.col("_within.z") <= F.col("z")))
+        x0, x1, y0, y1 = low(x0, "x"), high(x1, "x"), low(y0, "y"), high(y1, "y")
+    out = out.select(*keep, "layer", "z", x0.alias("_x0"), x1.alias("_x1"), y0.alias("_y0"), y1.alias("_y1")).where("_x0 <= _x1 and _y0 <= _y1")
+    out = out.withColumn("x", F.explode(F.sequence("_x0", "_x1"))).withColumn("y", F.explode(F.sequence("_y0", "_y1")))
+    return out.select("z", "x", "y", "layer", *keep)
+
+
+#: Tiles that one feature may cover at the highest zoom before it is cut up first, and zoom levels between two cuts.
+MAX_COVER, CUT_STEP = 1024, 3
+
+
+def cut_large(features: DataFrame, zooms: list[int], geom: str = "geom") -> DataFrame:
+    """Features with a column ``_within``: those that cover very many tiles are cut along coarser tiles, level by level, and spread.
+
+    A part is looked up only in tiles inside the one it was cut to, so clipping a
+    large shape at a high zoom costs its vertices per coarse tile and not per tile.
+    Zooms below the first cut take the whole feature. Nothing is done if no feature
+    is that large.
+    """
+    highest = max(zooms)
+    box = g.geom_bbox(F.col(geom))
+    cover = tiles.coverage_size(box["minx"], box["miny"], box["maxx"], box["maxy"], F.lit(highest))
+    none = F.lit(None).cast("struct<z:int,x:int,y:int>")
+    most = features.agg(F.max(cover)).first()[0]
+    if most is None or most <= MAX_COVER:
+        return features.withColumn("_within", none)
+    ship(features.sparkSession)
+    small = features.where(~F.coalesce(cover > MAX_COVER, F.lit(False))).withColumn("_within", none).withColumn("_zooms", F.lit(None).cast("array<int>"))
+    parts = features.where(cover > MAX_COVER).withColumn("_within", none)
+    out, before = small, -1
+    for level in [*range(CUT_STEP, highest, CUT_STEP), highest + 1]:
+        here = [z for z in set(zooms) if before <= z < level]
+        before = level
+        if here:
+            out = out.unionByName(parts.withColumn("_zooms", F.array(*[F.lit(z) for z in sorted(here)]).cast("array<int>")))
+        if level > highest:
+            break
+        b = g.geom_bbox(F.col(geom))
+        x0, x1 = tiles.tile_x(b["minx"], F.lit(level)), tiles.tile_x(b["maxx"], F.lit(level))
+        y0, y1 = tiles.tile_y(b["maxy"], F.lit(level)), tiles.tile_y(b["miny"], F.lit(level))
+        side = F.when(F.col("_within").isNotNull(), F.pow(F.lit(2.0), level - F.col("_within.z")).cast("int"))
+        w = lambda n: F.col(f"_within.{n}") * side
+        x0, x1 = F.greatest(x0, w("x")), F.least(x1, w("x") + side - 1)
+        y0, y1 = F.greatest(y0, w("y")), F.least(y1, w("y") + side - 1)
+        cut = parts.withColumn("_x0", x0).withColumn("_x1", x1).withColumn("_y0", y0).withColumn("_y1", y1).where("_x0 <= _x1 and _y0 <= _y1")
+        cut = cut.withColumn("_x", F.explode(F.sequence("_x0", "_x1"))).withColumn("_y", F.explode(F.sequence("_y0", "_y1")))
+        cut = cut.repartition("_x", "_y").withColumn("_b", tiles.tile_bbox("_x", "_y", F.lit(level)))
+        # edges are straight in Mercator coordinates, so they are cut there
+        tile = g.bbox(F.col("_b.minx"), tiles.mercator_y(F.col("_b.miny")), F.col("_b.maxx"), tiles.mercator_y(F.col("_b.maxy")))
+        flat = F.struct(F.col(geom)["typ"].alias("typ"), g.project(F.col(geom)["rings"], lambda p: point(p["x"], tiles.mercator_y(p["y"]))).alias("rings"))
+        cut = cut.withColumn(geom, F.explode(shapes.clip(flat, tile)))
+        cut = cut.withColumn(geom, F.struct(F.col(geom)["typ"].alias("typ"), g.project(F.col(geom)["rings"], lambda p: point(p["x"], tiles.latitude(p["y"]))).alias("rings")))
+        within = F.struct(F.lit(level).alias("z"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+        parts = cut.withColumn("_within", within).select(*features.columns, "_within")
+    return out
 
 
 def tile_parts(rows: DataFrame, geom: str = "geom") -> DataFrame:
@@ -106,7 +170,7 @@ def vector_tiles(features: DataFrame, zooms: list[int], default_layer: str | Non
     merged); a tile's task gets finished commands and only writes dictionaries. Rows
     of a tile are sorted, so equal input gives equal bytes.
     """
-    parts = tile_parts(tile_rows(features.select("geom", "props"), zooms, default_layer))
+    parts = tile_parts(tile_rows(cut_large(features.select("geom", "props"), zooms), zooms, default_layer))
     if merge:
         parts = merged_parts(parts)
     coded = parts.select("z", "x", "y", "layer", "props", F.col("geom")["typ"].alias("typ"), shapes.tile_commands(F.col("geom")).alias("commands"))

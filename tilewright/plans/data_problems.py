@@ -57,7 +57,6 @@ def p4_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    # the smallest n with n >= total / 20, without rounding the share
     return p4_keys(spark, d).where(F.col("share") >= HOT).select("field", F.col("key").alias("hot_key"))
 
 

@@ -59,24 +59,34 @@ def _skeletons(texts: pd.Series) -> pd.Series:
 
 
 def skeleton_of(text: Column) -> Column:
-    return F.pandas_udf(_skeletons, "string")(text)
+    """:func:`skeleton` of a column; ASCII texts, which are their own skeleton, do not go to Python."""
+    ascii_only = text.rlike(r"\A[\x00-\x7F]*+\z")
+    return F.coalesce(F.pandas_udf(_skeletons, "string")(F.when(~ascii_only, text)), text)
+
+
+def _digest(text: Column) -> Column:
+    """128 bits of a text, to compare long texts without moving them."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
 def lookalikes(df: DataFrame, record: str, fields: list[str]) -> DataFrame:
     """``field, id_a, id_b``, id_a < id_b: different records whose field looks the same without being the same characters.
 
     Null and empty texts and null records take no part; repeated rows count once.
-    Skeletons with one spelling are dropped by their least and greatest spelling,
-    so a name that many records share costs nothing. Spellings are paired first,
-    then their records by two equi-joins, salted where one spelling has very many.
+    First only digests are grouped: a skeleton whose least and greatest spelling
+    digest are equal has one spelling and is done, so a name that many records
+    share costs nothing. The texts of the rest are compared themselves: spellings of
+    one skeleton are paired, then their records by two equi-joins, salted where one
+    spelling has very many.
     """
     spark = df.sparkSession
     ship(spark)
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    rows = df.select(F.col(record).alias("id"), F.inline(each)).where("id is not null and text != ''").distinct()
-    spellings = rows.select("field", "text").distinct().withColumn("skeleton", skeleton_of(F.col("text")))
-    groups = spellings.groupBy("field", "skeleton").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a < b").select("field", "skeleton")
-    spellings = spellings.join(groups, ["field", "skeleton"], "left_semi")
+    rows = df.select(F.col(record).alias("id"), F.inline(each)).where("id is not null and text != ''").withColumn("skeleton", skeleton_of(F.col("text")))
+    rows = rows.withColumn("look", F.xxhash64("skeleton"))
+    several = rows.select("field", "look", _digest(F.col("text")).alias("d")).groupBy("field", "look").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a != b")
+    rows = rows.join(several.select("field", "look"), ["field", "look"], "left_semi").select("id", "field", "text", "skeleton").distinct()
+    spellings = rows.select("field", "skeleton", "text").distinct()
     one, two = spellings.withColumnRenamed("text", "text_a"), spellings.withColumnRenamed("text", "text_b")
     pairs = one.join(two, ["field", "skeleton"]).where("text_a < text_b").select(F.concat_ws(":", "field", "text_a").alias("k"), F.concat_ws(":", "field", "text_b").alias("k_b"), "field")
     members = rows.select("id", F.concat_ws(":", "field", "text").alias("k"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.skew import bounded, heavy_keys, salted
-from tilewright.session import ship
+from tilewright.session import scratch_path, ship
 
 # Letters of other scripts and the Latin letters that look like them.
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορστυ", "ABEZHIKMNOPTYXayiĸvopoᴛu")
@@ -85,7 +85,10 @@ def lookalikes(df: DataFrame, record: str, fields: list[str]) -> DataFrame:
     rows = df.select(F.col(record).alias("id"), F.inline(each)).where("id is not null and text != ''").withColumn("skeleton", skeleton_of(F.col("text")))
     rows = rows.withColumn("look", F.xxhash64("skeleton"))
     several = rows.select("field", "look", _digest(F.col("text")).alias("d")).groupBy("field", "look").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a != b")
-    rows = rows.join(several.select("field", "look"), ["field", "look"], "left_semi").select("id", "field", "text", "skeleton").distinct()
+    rows = rows.drop("skeleton").join(several.select("field", "look"), ["field", "look"], "left_semi").select("id", "field", "text").distinct()
+    path = scratch_path(spark, "alike")  # few rows, used several times below
+    rows.withColumn("skeleton", skeleton_of(F.col("text"))).write.parquet(path)
+    rows = spark.read.schema(f"id {dict(df.dtypes)[record]}, field string, text string, skeleton string").parquet(path)
     spellings = rows.select("field", "skeleton", "text").distinct()
     one, two = spellings.withColumnRenamed("text", "text_a"), spellings.withColumnRenamed("text", "text_b")
     pairs = one.join(two, ["field", "skeleton"]).where("text_a < text_b").select(F.concat_ws(":", "field", "text_a").alias("k"), F.concat_ws(":", "field", "text_b").alias("k_b"), "field")

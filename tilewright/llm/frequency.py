@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +17,18 @@ from tilewright.session import ship
 HEAVY_SHARE, MAX_HEAVY = 0.002, 256
 
 
-def _counters(size: int):
-    """Adds up (slot, n) rows in two exact local arrays; one row per slot and task leaves it."""
+def _counters(names):
+    """Adds up (term, n, is_record) rows in two exact local arrays, one slot per broadcast term; a row per term and task leaves it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurs, records = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        terms = pa.array(names.value, pa.string())
+        occurs, records = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
         for b in batches:
-            slot = b.column("slot").to_numpy(zero_copy_only=False)
+            slot = pc.index_in(b.column("term").cast(pa.string()), value_set=terms).to_numpy(zero_copy_only=False)
             np.add.at(occurs, slot, b.column("n").to_numpy(zero_copy_only=False))
-            records += np.bincount(slot, minlength=size)
-        used = np.flatnonzero(records)
-        yield pa.RecordBatch.from_pydict({"slot": used.astype(np.int32), "occurrences": occurs[used], "records": records[used]})
+            records += np.bincount(slot[b.column("is_record").to_numpy(zero_copy_only=False)], minlength=len(terms))
+        used = np.flatnonzero(occurs)
+        yield pa.RecordBatch.from_pydict({"term": terms.take(pa.array(used)), "occurrences": occurs[used], "records": records[used]})
 
     return run
 
@@ -47,25 +49,20 @@ def term_counts(terms: DataFrame, record: str, term: list[str]) -> DataFrame:
     joined = F.concat(*[x for c in term for x in (F.length(c).cast("string"), F.lit(":"), F.col(c))])
     heavy = bounded(spark, heavy_keys(rows.select(joined.alias("_term")), "_term", HEAVY_SHARE, MAX_HEAVY))
     names = sorted(r["_term"] for r in heavy.collect())  # at most MAX_HEAVY short strings
-    slots = spark.createDataFrame(list(enumerate(names)), "slot int, _term string")
 
-    each = rows.groupBy("_record", *term).agg(F.count(F.lit(1)).alias("n"))
-    each = each.withColumn("_term", joined).join(F.broadcast(slots), "_term", "left")
-    here = F.count("_record").alias("records")
-    light = each.where(F.col("slot").isNull()).groupBy(*term).agg(F.sum("n").alias("occurrences"), here)
+    # the mark passes through the aggregate, so both ways below read the same shuffle
+    mark = joined.isin(names) if names else F.lit(False)
+    each = rows.groupBy("_record", *term).agg(F.count(F.lit(1)).alias("n"), F.first(mark).alias("heavy"))
+    light = each.where(~F.col("heavy")).groupBy(*term).agg(F.sum("n").alias("occurrences"), F.count("_record").alias("records"))
     if not names:
         return light
-    known = each.where(F.col("slot").isNotNull() & F.col("_record").isNotNull()).select("slot", "n")
-    local = known.mapInArrow(_counters(len(names)), "slot int, occurrences bigint, records bigint")
-    # rows without a record occur too, but count as no record
-    lost = each.where(F.col("slot").isNotNull() & F.col("_record").isNull()).select("slot", F.col("n").alias("occurrences"), F.lit(0).cast("bigint").alias("records"))
-    heavy_counts = local.unionByName(lost).groupBy("slot").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-    named = heavy_counts.join(F.broadcast(slots), "slot")
-    out, rest = named, F.col("_term")
+    known = each.where("heavy").select(joined.alias("term"), "n", F.col("_record").isNotNull().alias("is_record"))
+    local = known.mapInArrow(_counters(spark.sparkContext.broadcast(names)), "term string, occurrences bigint, records bigint")
+    out = local.groupBy(F.col("term").alias("_rest")).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     for c in term:
-        n = F.substring_index(rest, ":", 1)
+        n = F.substring_index("_rest", ":", 1)
         size = n.cast("int")
-        out = out.withColumn(c, F.substr(rest, F.length(n) + 2, size)).withColumn("_term", F.substr(rest, F.length(n) + 2 + size))
+        out = out.withColumn(c, F.substr(F.col("_rest"), F.length(n) + 2, size)).withColumn("_rest", F.substr(F.col("_rest"), F.length(n) + 2 + size))
     return light.unionByName(out.select(*term, "occurrences", "records"))
 
 

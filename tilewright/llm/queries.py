@@ -36,7 +36,8 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_counts(spark, d).where("mark is not null").select("scope", "tag_key", "tag_value", "mark")
+    # asking for occurrences keeps the same columns on the light and the heavy way, so that they share their shuffle
+    return p1_counts(spark, d).where("mark is not null and occurrences > 0").select("scope", "tag_key", "tag_value", "mark")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

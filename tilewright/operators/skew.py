@@ -37,8 +37,7 @@ def heavy_keys(df: DataFrame, key: str, min_share: float = 0.01, max_heavy: int
 
 def bounded(spark, small: DataFrame) -> DataFrame:
     """The heavy list as a literal relation (its size is bounded by ``max_heavy``), so that later plans do not redo the sketch."""
-    rows = small.limit(MAX_HEAVY).collect()
-    return spark.createDataFrame(rows, small.schema)
+    return spark.createDataFrame(small.limit(MAX_HEAVY).toArrow(), small.schema)
 
 
 def fresh(taken: list[str], base: str) -> str:

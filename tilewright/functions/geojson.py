@@ -93,6 +93,11 @@ def geometry_json(g: Column) -> Column:
     return F.coalesce(F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), coords, F.lit("}")), F.lit("null"))
 
 
+def segment_json(a: Column, b: Column) -> Column:
+    """A segment as a line feature without properties."""
+    return F.concat(F.lit('{"type":"Feature","properties":{},"geometry":{"type":"LineString","coordinates":'), _line_json(F.array(a, b)), F.lit("}}"))
+
+
 def properties_json(props: Column) -> Column:
     """A JSON object with sorted keys."""
 

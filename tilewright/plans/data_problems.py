@@ -195,4 +195,12 @@ SQL = {
 kept AS (SELECT row_id, list_filter(list_transform(p, lambda v: CASE WHEN length(v) >= 2 AND left(v, 1) = '"' AND right(v, 1) = '"'
     THEN trim(replace(substr(v, 2, length(v) - 2), '""', '"'), ' ') ELSE v END), lambda v: v <> '') AS p FROM parts)
 SELECT row_id, CAST(i AS INT) AS pos, p[i + 1] AS item FROM (SELECT row_id, p, unnest(range(len(p))) AS i FROM kept)""",
+    "p7_delimiters": f"""WITH t AS (SELECT country AS source, array_to_string(list_transform(string_split(alternatenames, '"'), lambda s, i: CASE WHEN i % 2 = 1 THEN s ELSE 'q' END), '') AS t
+  FROM gn_excerpt WHERE alternatenames <> ''),
+c AS (SELECT unnest([{", ".join(f"'{c}'" for c in packed.CANDIDATES)}]) AS delimiter),
+p AS (SELECT source, delimiter, string_split(t, delimiter) AS p FROM t, c),
+n AS (SELECT source, delimiter, len(p) AS n, len(list_filter(p, lambda v: regexp_full_match(trim(v, ' '), '[\\pL\\pM\\pN][^/:]*[\\pL\\pM\\pN)'']', 's'))) AS ok FROM p),
+a AS (SELECT source, delimiter, count(*) AS rows, count(*) FILTER (n > 1) AS rows_with, sum(n) FILTER (n > 1) AS pieces, sum(n * n) FILTER (n > 1) AS squares, sum(ok) FILTER (n > 1) AS ok FROM n GROUP BY ALL),
+s AS (SELECT source, delimiter, rows_with, CAST(pieces AS BIGINT) AS pieces, round(rows_with / rows * (1 / (1 + sqrt(greatest(squares / rows_with - (pieces / rows_with) * (pieces / rows_with), 0)) / (pieces / rows_with))) * (ok / pieces), 6) AS score FROM a WHERE rows_with > 0)
+SELECT *, delimiter = arg_max(delimiter, (score, delimiter)) OVER (PARTITION BY source) AS chosen FROM s""",
 }

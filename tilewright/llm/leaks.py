@@ -27,35 +27,41 @@ ITEM_BLOCK_CHARS = 20_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mix(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    h = (h + words.astype(np.uint64)) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
 class PatternSearch:
-    """Wu-Manber search for word runs of equal length."""
+    """Wu-Manber search for all runs of ``length`` words of all items.
+
+    Items stay one flat array of word numbers; a pattern is a place in it, so the
+    tables take a few dozen bytes per word of the items.
+    """
 
     def __init__(self, items: list[tuple[object, list[str]]], length: int) -> None:
         self.m, self.block = length, min(BLOCK, length)
-        self.vocabulary: dict[str, int] = {}
-        runs: dict[tuple[int, ...], list[int]] = {}
         self.items = [i for i, _ in items]
-        for k, (_, ws) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws]
-            for j in range(len(ids) - length + 1):
-                owners = runs.setdefault(tuple(ids[j : j + length]), [])
-                if not owners or owners[-1] != k:
-                    owners.append(k)
-        self.patterns = np.array(list(runs), np.int64).reshape(len(runs), length)
-        self.owners = list(runs.values())
+        self.vocabulary: dict[str, int] = {}
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        size = np.array([len(ws) for _, ws in items], np.int64)
+        self.words = np.fromiter((number(w) for _, ws in items for w in ws), np.int32, int(size.sum()))
+        ends = np.cumsum(size)
+        item = np.repeat(np.arange(len(items)), size)
+        place = np.flatnonzero(np.arange(len(self.words)) + length <= ends[item]) if len(items) else np.zeros(0, np.int64)
         step = length - self.block + 1
-        self.shift = np.full(SLOTS, step, np.uint8 if step < 256 else np.int32)
+        self.shift = np.full(SLOTS, step, np.int32)
         for q in range(step):  # a block that ends q + block words into a pattern allows a move of the words behind it
-            np.minimum.at(self.shift, self._slot(self._blocks(self.patterns, q)), step - 1 - q)
-        tails = self._blocks(self.patterns, step - 1) ^ (self._blocks(self.patterns, 0) * MIX)
-        self.order = np.argsort(tails, kind="stable")
-        self.tails = tails[self.order]
-
-    def _blocks(self, rows: np.ndarray, at: int) -> np.ndarray:
-        h = np.zeros(len(rows), np.uint64)
+            slots = self._slot(self._block(self.words, place + q))
+            self.shift[slots] = np.minimum(self.shift[slots], step - 1 - q)
+        tails = self._block(self.words, place + step - 1) ^ (self._block(self.words, place) * MIX)
+        order = np.argsort(tails, kind="stable")
+        self.tails, self.place, self.item = tails[order], place[order], item[place[order]]
+
+    def _block(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(at), np.uint64)
         for i in range(self.block):
-            h = (h + rows[:, at + i].astype(np.uint64)) * MIX
-            h ^= h >> np.uint64(29)
+            h = _mix(h, words[at + i])
         return h
 
     @staticmethod
@@ -63,12 +69,12 @@ class PatternSearch:
         return (h >> np.uint64(44)).astype(np.int64)
 
     def find(self, texts: list[list[str]]) -> list[tuple[int, int, int]]:
-        """(text, item, distinct positions of the text at which a run of the item ends), each pair once."""
-        if not len(self.patterns):
+        """(text, item, places of the text at which a run of the item ends), each pair once."""
+        if not len(self.place):
             return []
         get = self.vocabulary.get
         size = np.array([len(t) for t in texts], np.int64)
-        w = np.fromiter((get(x, 0) for t in texts for x in t), np.int64, int(size.sum()))
+        w = np.fromiter((get(x, 0) for t in texts for x in t), np.int32, int(size.sum()))
         ends = np.cumsum(size)
         # lanes: stretches of LANE window ends of one text
         count = np.where(size >= self.m, -(-(size - self.m + 1) // LANE), 0)
@@ -76,39 +82,31 @@ class PatternSearch:
         number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
         pos = (ends - size)[text] + self.m - 1 + number * LANE
         stop = np.minimum(pos + LANE, ends[text])
-        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        back = np.arange(self.m)[::-1]
+        hits: list[np.ndarray] = []
+        back, along = np.arange(self.m)[::-1], np.arange(self.m)
         while len(pos):
-            tail = np.zeros(len(pos), np.uint64)
-            for i in range(self.block - 1, -1, -1):
-                tail = (tail + w[pos - i].astype(np.uint64)) * MIX
-                tail ^= tail >> np.uint64(29)
+            tail = self._block(w, pos - self.block + 1)
             move = self.shift[self._slot(tail)].astype(np.int64)
             still = np.flatnonzero(move == 0)
             if len(still):
-                head = np.zeros(len(still), np.uint64)
-                begin = pos[still] - self.m + 1
-                for i in range(self.block):
-                    head = (head + w[begin + i].astype(np.uint64)) * MIX
-                    head ^= head >> np.uint64(29)
-                key = tail[still] ^ (head * MIX)
+                key = tail[still] ^ (self._block(w, pos[still] - self.m + 1) * MIX)
                 lo, hi = np.searchsorted(self.tails, key, "left"), np.searchsorted(self.tails, key, "right")
                 for k in range(int((hi - lo).max())):  # patterns of one bucket, one after the other
                     some = np.flatnonzero(lo + k < hi)
-                    p = self.order[lo[some] + k]
+                    p = lo[some] + k
                     at = pos[still[some]]
-                    same = (w[at[:, None] - back] == self.patterns[p]).all(axis=1)
-                    hits.append((text[still[some[same]]], at[same], p[same]))
+                    same = (w[at[:, None] - back] == self.words[self.place[p][:, None] + along]).all(axis=1)
+                    hits.append(np.stack([text[still[some[same]]], self.item[p[same]], at[same]], axis=1))
                 move[still] = 1
             pos = pos + move
             go = pos < stop
             pos, stop, text = pos[go], stop[go], text[go]
-        found: dict[tuple[int, int], int] = {}
-        for t, _, p in hits:
-            for a, b in zip(t.tolist(), p.tolist(), strict=True):
-                for k in self.owners[b]:
-                    found[a, k] = found.get((a, k), 0) + 1
-        return [(a, k, n) for (a, k), n in found.items()]
+        found = np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
+        if not len(found):
+            return []
+        places = np.unique(found, axis=0)  # a text's place counts once for an item that says the run twice
+        pairs, n = np.unique(places[:, :2], axis=0, return_counts=True)
+        return [(a, k, c) for (a, k), c in zip(pairs.tolist(), n.tolist(), strict=True)]
 
 
 def leaked(docs: DataFrame, record: str, text: str, items: DataFrame, item: str, item_text: str, length: int = 10) -> DataFrame:
@@ -137,9 +135,17 @@ def leaked(docs: DataFrame, record: str, text: str, items: DataFrame, item: str,
     return out
 
 
+#: The last tables a worker built, with the broadcast items they are of.
+_ready: list = []
+
+
 def _finder(shared, length: int, record: str, item: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = PatternSearch(shared.value, length)
+        from tilewright.llm.leaks import _ready as ready  # the worker's own, which lasts from task to task
+
+        if not ready or ready[0] is not shared.value or ready[1] != length:
+            ready[:] = [shared.value, length, PatternSearch(shared.value, length)]
+        search = ready[2]
         for batch in batches:
             for part in slices(batch, "t"):
                 texts = [words(x) for x in part.column("t").to_pylist()]

@@ -128,13 +128,13 @@ class CorpusEncoder:
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, list[int]] = {}
         self.words: dict[str, list[int]] = {}
-        if len(self.trie.beside) > 20 * MEMO:
-            self.trie.beside.clear()
 
     def learn(self, new: list[str]) -> dict[str, list[int]]:
         """Ids of pieces that are not remembered."""
         if len(self.words) > MEMO:
             self.words.clear()
+        if len(self.trie.beside) > 5 * MEMO:
+            self.trie.beside.clear()
         cut = [self.find(p) for p in new]
         unknown = {w for ws in cut for w in ws} - self.words.keys()
         got = self.trie.encode([w.encode() for w in unknown])
@@ -185,6 +185,7 @@ class CorpusEncoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[source], pa.int32()))
 
 
+#: The encoder of a worker.
 _ready: dict[int, CorpusEncoder] = {}
 
 
@@ -203,13 +204,15 @@ def encode_corpus(df: DataFrame, record: str, text: str, vocabulary: str, patter
     kind = dict(df.dtypes)[record]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tilewright.llm.encode import _ready as ready  # the worker's own, which lasts from task to task
+
         key = hash((data.value, pattern))
-        if key not in _ready:
-            _ready.clear()
-            _ready[key] = CorpusEncoder(read_ranks(data.value), pattern)
+        if key not in ready:
+            ready.clear()
+            ready[key] = CorpusEncoder(read_ranks(data.value), pattern)
         for batch in batches:
             for part in slices(batch, "t"):
-                ids = _ready[key].batch(part.column("t"))
+                ids = ready[key].batch(part.column("t"))
                 yield pa.RecordBatch.from_arrays([part.column("r"), ids], names=[record, "ids"])
 
     return df.selectExpr(f"`{record}` as r", f"`{text}` as t").mapInArrow(run, f"`{record}` {kind}, ids array<int>")

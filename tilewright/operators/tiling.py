@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import os
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -16,6 +15,7 @@ from tilewright.functions import geometry as g
 from tilewright.functions import shapes, tiles
 from tilewright.functions.geojson import feature_json
 from tilewright.session import ship
+from tilewright.sources.binary import file_system
 from tilewright.types import point, props_key
 
 #: Zoom range of a feature without its own.
@@ -193,9 +193,7 @@ def write_tiles(tile_data: DataFrame, base: str, extension: str, compress: bool
     ship(tile_data.sparkSession)
 
     def save(rows: Iterator) -> None:
-        from pyarrow import fs
-
-        where, root = fs.FileSystem.from_uri(base if "://" in base else "file://" + os.path.abspath(base))
+        where, root = file_system(base)
         for r in rows:
             folder = posixpath.join(root, str(r["z"]), str(r["x"]))
             where.create_dir(folder, recursive=True)

@@ -28,8 +28,11 @@ OSM_DDL = {
 
 
 def file_system(path: str):
+    """File system and the path in it, of a local path or a URI."""
     from pyarrow import fs
 
+    if path.startswith("file:/") and "://" not in path:
+        path = path.removeprefix("file:")
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
 
 
@@ -45,8 +48,8 @@ def list_files(path: str, suffixes: tuple[str, ...] = ()) -> list[str]:
         raise FileNotFoundError(path)
     found = [f.path for f in where.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File]
     visible = [p for p in found if not posixpath.basename(p).startswith((".", "_")) and (not suffixes or p.lower().endswith(suffixes))]
-    scheme = path.split("://", 1)[0] + "://" if "://" in path else ""
-    return [scheme + p for p in sorted(visible)]
+    prefix = path[: path.rindex(root)] if "://" in path and root in path else ""  # scheme and host
+    return [prefix + p for p in sorted(visible)]
 
 
 @dataclass

@@ -163,6 +163,12 @@ def test_delimiter_scores(spark):
     data = [("s1", "aa;bb;cc")] * 5 + [("s1", "dd;ee")] + [("s2", "aa|bb")] * 3 + [(None, "xx,yy")] + [("s3", None), ("s3", "")]
     best = {r.source: r.delimiter for r in packed.delimiter_scores(spark.createDataFrame(data, "source string, f string"), "f", "source").collect() if r.chosen}
     assert best == {"s1": ";", "s2": "|", None: ","}
+    data += [("s4", "no delimiter"), ("s2", 'cc|"d|e"')]
+    df = spark.createDataFrame(data, "source string, f string").withColumn("_key", F.lit(1)).withColumn("pos", F.lit(2)).dropDuplicates()
+    got = rows(packed.split_inferred(df, "f", "source", ["source", "pos"]).select(F.coalesce("source", F.lit("-")), "pos_source", "pos", "item"))
+    assert [g[2:] for g in got if g[0] == "s2"] == [(0, "aa"), (0, "cc"), (1, "bb"), (1, "d|e")]
+    assert {g[3] for g in got if g[0] in "-s4"} >= {"xx", "yy", "no delimiter"} and {g[1] for g in got} == {2}
+    assert rows(packed.split_inferred(df.limit(0), "f", "source", ["source"])) == []
 
 
 def test_lines(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.skew import fresh
+from tilewright.operators.skew import bounded, fresh, heavy_keys, skew_join
 
 #: Separators of packed fields, plain and full-width.
 SEPARATORS = ",;|，；｜"
@@ -20,14 +20,19 @@ def _outside(text: Column, change) -> Column:
     return F.array_join(F.transform(parts, lambda s, i: F.when(i % 2 == 0, change(s)).otherwise(s)), '"')
 
 
-def pieces(text: Column, separators: str = SEPARATORS) -> Column:
+def pieces(text: Column, separators: str | Column = SEPARATORS) -> Column:
     """Array of the values of a packed field, in order, without the empty ones; null for a null field.
 
-    Separators count outside double quotes. Outer spaces go; a value in double
-    quotes loses them, two quotes inside stand for one, outer spaces go again.
+    Separators are the characters of a string, or one text per row (null: none).
+    They count outside double quotes. Outer spaces go; a value in double quotes
+    loses them, two quotes inside stand for one, outer spaces go again.
     """
+    if isinstance(separators, Column):
+        cut = lambda s: F.coalesce(F.replace(s, separators, F.lit(MARK)), s)
+    else:
+        cut = lambda s: F.translate(s, separators, MARK * len(separators))
     safe = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "e")), F.lit(MARK), F.lit(ESCAPE + "m"))
-    marked = _outside(safe, lambda s: F.translate(s, separators, MARK * len(separators)))
+    marked = _outside(safe, cut)
 
     def clean(v: Column) -> Column:
         v = F.trim(v)
@@ -77,3 +82,21 @@ def delimiter_scores(df: DataFrame, field: str, source: str, candidates: str = C
     best = used.groupBy("source").agg(F.max(F.struct("score", "delimiter")).alias("b"))
     best = best.select(F.col("source").alias("s"), F.col("b.delimiter").alias("d"))
     return used.join(best, F.col("source").eqNullSafe(F.col("s")), "left").select(*used.columns, (F.col("delimiter") == F.col("d")).alias("chosen"))
+
+
+def split_inferred(df: DataFrame, field: str, source: str, keep: list[str], candidates: str = CANDIDATES) -> DataFrame:
+    """``keep``, ``pos``, ``item`` like :func:`split_packed`, each source split at the one delimiter its scores choose.
+
+    For sources that keep to one delimiter but do not say which. A source in which
+    no candidate occurs keeps its fields whole; a null source is a source of its own.
+    Delimiters come by a join that broadcasts those of large sources and shuffles the others.
+    """
+    key = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("n"))
+    names = [fresh([*keep, "pos", "item"], c + "_source") if c.lower() in ("pos", "item") else c for c in keep]
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{field}`").alias("_field"), key.alias("_key"))
+    chosen = delimiter_scores(df.select(F.col(f"`{field}`").alias("f"), key.alias("k")), "f", "k", candidates).where("chosen")
+    chosen = chosen.select(F.col("source").alias("_key"), "delimiter")
+    heavy = bounded(df.sparkSession, heavy_keys(rows.select("_key"), "_key"))
+    got = skew_join(rows, chosen, "_key", heavy)
+    kept = [F.col(f"_k{i}").alias(n) for i, n in enumerate(names)]
+    return got.select(*kept, F.posexplode(pieces(F.col("_field"), F.col("delimiter"))).alias("pos", "item"))

@@ -8,7 +8,8 @@ only where the shift table leaves no choice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,20 @@ class PatternSearch:
     tables take a few dozen bytes per word of the items.
     """
 
-    def __init__(self, items: list[tuple[object, list[str]]], length: int) -> None:
+    def __init__(self, items: Iterable[tuple[object, list[str]]], length: int) -> None:
         self.m, self.block = length, min(BLOCK, length)
-        self.items = [i for i, _ in items]
+        self.items: list[object] = []
         self.vocabulary: dict[str, int] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
-        size = np.array([len(ws) for _, ws in items], np.int64)
-        self.words = np.fromiter((number(w) for _, ws in items for w in ws), np.int32, int(size.sum()))
+        sizes, numbers, known = [], array("i"), self.vocabulary
+        for name, ws in items:
+            self.items.append(name)
+            sizes.append(len(ws))
+            numbers.extend(known.setdefault(w, len(known) + 1) for w in ws)
+        size = np.array(sizes, np.int64)
+        self.words = np.array(numbers, np.int32)
         ends = np.cumsum(size)
-        item = np.repeat(np.arange(len(items)), size)
-        place = np.flatnonzero(np.arange(len(self.words)) + length <= ends[item]) if len(items) else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(size)), size)
+        place = np.flatnonzero(np.arange(len(self.words)) + length <= ends[item]) if len(item) else np.zeros(0, np.int64)
         step = length - self.block + 1
         self.shift = np.full(SLOTS, step, np.int32)
         for q in range(step):  # a block that ends q + block words into a pattern allows a move of the words behind it
@@ -127,7 +132,7 @@ def leaked(docs: DataFrame, record: str, text: str, items: DataFrame, item: str,
     found = []
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).collect()  # a block of about ITEM_BLOCK_CHARS
-        shared = spark.sparkContext.broadcast([(r[0], words(r[1])) for r in part])
+        shared = spark.sparkContext.broadcast([tuple(r) for r in part])
         found.append(source.mapInArrow(_finder(shared, length, record, item), f"`{record}` {kind}, `{item}` {item_kind}, n_runs bigint"))
     out = found[0]
     for more in found[1:]:
@@ -144,7 +149,7 @@ def _finder(shared, length: int, record: str, item: str):
         from tilewright.llm.leaks import _ready as ready  # the worker's own, which lasts from task to task
 
         if not ready or ready[0] is not shared.value or ready[1] != length:
-            ready[:] = [shared.value, length, PatternSearch(shared.value, length)]
+            ready[:] = [shared.value, length, PatternSearch(((i, words(t)) for i, t in shared.value), length)]
         search = ready[2]
         for batch in batches:
             for part in slices(batch, "t"):

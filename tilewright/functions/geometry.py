@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -278,11 +276,3 @@ def line_text(line: Column) -> Column:
 def geom_text(g: Column) -> Column:
     polygon = F.concat(F.lit("("), F.array_join(F.transform(g["rings"], lambda r: F.concat(F.lit("("), line_text(r), F.lit(")"))), ", "), F.lit(")"))
     return F.when(g["typ"] == 1, point_text(F.get(F.get(g["rings"], F.lit(0)), F.lit(0)))).when(g["typ"] == 2, line_text(F.get(g["rings"], F.lit(0)))).when(g["typ"] == 3, polygon).otherwise("")
-
-
-def box_borders(rings: Column) -> Column:
-    """Array of the edges of a polygon's rings, closing edges included."""
-    return F.flatten(F.transform(rings, lambda r: segments(r, True)))
-
-
-PI = math.pi

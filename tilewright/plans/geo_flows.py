@@ -10,12 +10,12 @@ from tilewright.functions import geometry as g
 from tilewright.functions import tiles as t
 from tilewright.operators import assembly, mapping, tiling
 from tilewright.operators.mapping import Rule, apply_rules
-from tilewright.plans.derived import CUSTOMERS, RINGS, WAYS, area_sql, customers, lat_sql, lon_sql, osm_tables, part_features
+from tilewright.plans.derived import CUSTOMERS, WAYS, area_sql, customers, lat_sql, lon_sql, osm_tables, part_features
 from tilewright.plans.geo_points import tx, ty
 from tilewright.session import scratch_path, ship, table
 from tilewright.sources import binary, formats, text
 from tilewright.streaming.features import converted, each_batch
-from tilewright.types import line_geom, point_geom, prop, prop_text, props_key, string_props
+from tilewright.types import point_geom, prop, prop_text, props_key, string_props
 
 RULES = """
 - src: {key: type, value: "*"}

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def test_empty_tables(spark):
     polygons = spark.createDataFrame([], f"region bigint, rings {RINGS_DDL}")
     assert rows(nearby.near_pairs(points, 250.0)) == [] == rows(nearby.containing_regions(points, polygons))
     assert rows(lines.rejected_lines(spark.createDataFrame([], "line_id bigint, line string"), ["line_id"])) == []
-    assert rows(packed.split_packed(spark.createDataFrame([], "id int, f string"), "f", ["id"])) == []
+    assert rows(packed.split_packed(spark.createDataFrame([], "id int, f string"), "f", ["id"], ",")) == []
     keys = spark.createDataFrame([], "k string, v int")
     heavy = skew.bounded(spark, skew.heavy_keys(keys, "k"))
     assert rows(skew.aggregate_by_key(keys, "k", [F.sum("v").alias("s")], [F.sum("s").alias("s")], heavy)) == []
@@ -152,7 +153,7 @@ def test_wide_table(spark):
 )
 def test_packed_values(spark, text, want):
     df = spark.createDataFrame([(1, text)], "pos int, f string").withColumn("item", F.lit("x"))
-    got = packed.split_packed(df, "f", ["pos"])
+    got = packed.split_packed(df, "f", ["pos"], packed.widths(",;|"))
     assert got.columns == ["pos_source", "pos", "item"]
     got = sorted((r.pos, r.item) for r in got.collect())
     if want is not None:
@@ -160,14 +161,23 @@ def test_packed_values(spark, text, want):
 
 
 def test_delimiter_scores(spark):
-    data = [("s1", "aa;bb;cc")] * 5 + [("s1", "dd;ee")] + [("s2", "aa|bb")] * 3 + [(None, "xx,yy")] + [("s3", None), ("s3", "")]
-    best = {r.source: r.delimiter for r in packed.delimiter_scores(spark.createDataFrame(data, "source string, f string"), "f", "source").collect() if r.chosen}
-    assert best == {"s1": ";", "s2": "|", None: ","}
-    data += [("s4", "no delimiter"), ("s2", 'cc|"d|e"')]
-    df = spark.createDataFrame(data, "source string, f string").withColumn("_key", F.lit(1)).withColumn("pos", F.lit(2)).dropDuplicates()
-    got = rows(packed.split_inferred(df, "f", "source", ["source", "pos"]).select(F.coalesce("source", F.lit("-")), "pos_source", "pos", "item"))
-    assert [g[2:] for g in got if g[0] == "s2"] == [(0, "aa"), (0, "cc"), (1, "bb"), (1, "d|e")]
-    assert {g[3] for g in got if g[0] in "-s4"} >= {"xx", "yy", "no delimiter"} and {g[1] for g in got} == {2}
+    data = [("s1", "aa;bb;cc / c; x - 2")] * 40 + [("s1", "dd；ee；ff")] + [("s2", "aa|bb|xx-yy|zz")] * 40 + [(None, "xx,yy"), (None, None), ("s3", ""), ("s3", "no delimiter")]
+    df = spark.createDataFrame(data, "source string, f string")
+    got = packed.delimiter_scores(df, "f", "source").collect()
+    chosen = {(r.source, r.delimiter) for r in got if r.chosen}
+    assert chosen == {("s1", ";"), ("s2", "|")} and {r.delimiter for r in got} == {";", "/", "-", "|", ","}
+    assert packed.widths(",、") == ",、，"
+
+
+def test_split_at_inferred_delimiters(spark):
+    """Two sources that contradict each other, small ones that follow the rest, quotes, clashing names, repeated rows."""
+    data = [(1, "s1", "aa/bb/cc")] * 300 + [(2, "s2", "kk;ll;mm / nn")] * 600 + [(3, None, 'xx;"y;y";zz'), (4, "s4", "oo；pp"), (5, "s4", "qq"), (6, "s4", None), (7, "s4", " ; ")]
+    df = spark.createDataFrame(data, "id int, source string, f string").withColumn("_key", F.lit(1)).withColumn("pos", F.lit(2))
+    got = packed.split_inferred(df, "f", "source", ["id", "pos"])
+    assert got.columns == ["id", "pos_source", "pos", "item"]
+    want = {1: ["aa", "bb", "cc"], 2: ["kk", "ll", "mm / nn"], 3: ["xx", "y;y", "zz"], 4: ["oo", "pp"], 5: ["qq"]}
+    rows_ = Counter((r.id, r.pos, r.item) for r in got.collect())
+    assert rows_ == Counter({(i, n, v): {1: 300, 2: 600}.get(i, 1) for i, vs in want.items() for n, v in enumerate(vs)})
     assert rows(packed.split_inferred(df.limit(0), "f", "source", ["source"])) == []
 
 

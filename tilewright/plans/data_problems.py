@@ -100,21 +100,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed.split_packed(table(spark, d, "gn_excerpt"), "alternatenames", ["row_id"])
+    return packed.split_inferred(table(spark, d, "gn_excerpt"), "alternatenames", "country", ["row_id"])
 
 
 def p7_delimiters(spark: SparkSession, d: str) -> DataFrame:
     return packed.delimiter_scores(table(spark, d, "gn_excerpt"), "alternatenames", "country")
 
 
-def p7_inferred(spark: SparkSession, d: str) -> DataFrame:
-    """Each country's fields at the delimiter inferred for it alone."""
-    return packed.split_inferred(table(spark, d, "gn_excerpt"), "alternatenames", "country", ["row_id"])
-
-
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_near, p2_in, p4_found, p4_keys, p4_country_rows, p5_found, p5_rejects, p5_loaded, p6_found, p6_wide, p7_found, p7_delimiters, p7_inferred)
+    for f in (p2_found, p2_near, p2_in, p4_found, p4_keys, p4_country_rows, p5_found, p5_rejects, p5_loaded, p6_found, p6_wide, p7_found, p7_delimiters)
 }
 
 _POINTS = """pts AS (SELECT DISTINCT geonameid AS id, latitude AS lat, longitude AS lon FROM gn_excerpt
@@ -179,13 +174,20 @@ _NAMES = {"class": 0, "name": 0, "source": 0, "surface": 0, "ref": 0, "operator"
 _WIDE = ", ".join(
     f"max({'dv' if k == 2 else 'TRY_CAST(v AS BIGINT)' if k == 1 else 'v'}) FILTER (WHERE tag_key = '{a}') AS \"{a}\"" for a, k in _NAMES.items()
 )
-_SCORES = f"""WITH t AS (SELECT country AS source, array_to_string(list_transform(string_split(alternatenames, '"'), lambda s, i: CASE WHEN i % 2 = 1 THEN s ELSE 'q' END), '') AS t
+_LOOKS = "regexp_full_match(trim(v, ' '), '[\\pL\\pM\\pN][^/:]*[\\pL\\pM\\pN)'']', 's')"
+_PIECES = f"""count(*) AS segments, count(*) FILTER (n > 2) AS lists, CAST(sum(n) AS BIGINT) AS pieces, CAST(sum(ok) AS BIGINT) AS regular
+  FROM (SELECT source, delimiter, len(p) AS n, len(list_filter(p, lambda v: {_LOOKS})) AS ok FROM (SELECT source, delimiter, string_split(s, delimiter) AS p FROM %s WHERE contains(s, delimiter)))"""
+_SCORES = f"""WITH t AS (SELECT country AS source, translate(array_to_string(list_transform(string_split(alternatenames, '"'), lambda s, i: CASE WHEN i % 2 = 1 THEN s ELSE 'q' END), ''), '，；｜／：－＿', ',;|/:-_') AS t
   FROM gn_excerpt WHERE alternatenames <> ''),
-c AS (SELECT unnest([{", ".join(f"'{c}'" for c in packed.CANDIDATES)}]) AS delimiter),
-p AS (SELECT source, delimiter, string_split(t, delimiter) AS p FROM t, c),
-n AS (SELECT source, delimiter, len(p) AS n, len(list_filter(p, lambda v: regexp_full_match(trim(v, ' '), '[\\pL\\pM\\pN][^/:]*[\\pL\\pM\\pN)'']', 's'))) AS ok FROM p),
-a AS (SELECT source, delimiter, count(*) AS rows, count(*) FILTER (n > 1) AS rows_with, sum(n) FILTER (n > 1) AS pieces, sum(n * n) FILTER (n > 1) AS squares, sum(ok) FILTER (n > 1) AS ok FROM n GROUP BY ALL),
-s AS (SELECT source, delimiter, rows_with, CAST(pieces AS BIGINT) AS pieces, round(rows_with / rows * (1 / (1 + sqrt(greatest(squares / rows_with - (pieces / rows_with) * (pieces / rows_with), 0)) / (pieces / rows_with))) * (ok / pieces), 6) AS score FROM a WHERE rows_with > 0)"""
+c AS (SELECT unnest([{", ".join(f"'{c}'" for c in packed.CANDIDATES)}]) AS delimiter, unnest(range({len(packed.CANDIDATES)})) AS place),
+whole AS (SELECT source, delimiter, t AS s FROM t, c),
+raws AS (SELECT delimiter, lists / segments * regular / pieces AS raw FROM (SELECT delimiter, {_PIECES % "whole"} GROUP BY delimiter)),
+better AS (SELECT c.delimiter, coalesce(string_agg(o.delimiter, ''), '') AS b FROM c LEFT JOIN raws f USING (delimiter) LEFT JOIN (SELECT c.delimiter, place, raw FROM c JOIN raws USING (delimiter)) o
+  ON o.raw >= {packed.MIN_SCORE} AND (o.raw > coalesce(f.raw, 0) OR o.raw = coalesce(f.raw, 0) AND o.place < c.place) GROUP BY c.delimiter, c.place),
+seg AS (SELECT source, delimiter, unnest(string_split(translate(t, b, repeat(chr(1), length(b))), chr(1))) AS s FROM t, better WHERE contains(t, delimiter)),
+each AS (SELECT source, delimiter, {_PIECES % "seg"} GROUP BY source, delimiter),
+total AS (SELECT delimiter, sum(lists) / sum(segments) AS l, sum(regular) / sum(pieces) AS r FROM each GROUP BY delimiter),
+s AS (SELECT source, delimiter, segments, lists, pieces, regular, round((lists + {packed.PRIOR} * l) / (segments + {packed.PRIOR}) * ((regular + {packed.PRIOR} * r) / (pieces + {packed.PRIOR})), 6) AS score FROM each JOIN total USING (delimiter))"""
 
 SQL = {
     "p2_near": f"WITH {_POINTS} {_NEAR}",
@@ -207,11 +209,5 @@ SQL = {
 kept AS (SELECT row_id, list_filter(list_transform(p, lambda v: CASE WHEN length(v) >= 2 AND left(v, 1) = '"' AND right(v, 1) = '"'
     THEN trim(replace(substr(v, 2, length(v) - 2), '""', '"'), ' ') ELSE v END), lambda v: v <> '') AS p FROM parts)
 SELECT row_id, CAST(i AS INT) AS pos, p[i + 1] AS item FROM (SELECT row_id, p, unnest(range(len(p))) AS i FROM kept)""",
-    "p7_delimiters": f"{_SCORES} SELECT *, delimiter = arg_max(delimiter, (score, delimiter)) OVER (PARTITION BY source) AS chosen FROM s",
-    "p7_inferred": f"""{_SCORES}, best AS (SELECT source, arg_max(delimiter, (score, delimiter)) AS d FROM s GROUP BY source),
-q AS (SELECT row_id, coalesce(d, chr(1)) AS d, string_split(alternatenames, '"') AS seg FROM gn_excerpt g LEFT JOIN best b ON g.country IS NOT DISTINCT FROM b.source WHERE alternatenames IS NOT NULL),
-m AS (SELECT row_id, string_split(array_to_string(list_transform(seg, lambda s, i: CASE WHEN i % 2 = 1 THEN replace(s, d, chr(1)) ELSE s END), '"'), chr(1)) AS p FROM q),
-kept AS (SELECT row_id, list_filter(list_transform(list_transform(p, lambda v: trim(v, ' ')), lambda v: CASE WHEN length(v) >= 2 AND left(v, 1) = '"' AND right(v, 1) = '"'
-    THEN trim(replace(substr(v, 2, length(v) - 2), '""', '"'), ' ') ELSE v END), lambda v: v <> '') AS p FROM m)
-SELECT row_id, CAST(i AS INT) AS pos, p[i + 1] AS item FROM (SELECT row_id, p, unnest(range(len(p))) AS i FROM kept)""",
+    "p7_delimiters": f"{_SCORES} SELECT *, score >= {packed.MIN_SCORE} AS chosen FROM s",
 }

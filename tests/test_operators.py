@@ -107,8 +107,9 @@ def test_skewed_keys(spark):
     data = [("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(40)] + [(None, 7)] * 3
     df = spark.createDataFrame(data, "k string, v bigint").withColumn("_heavy", F.lit(0)).withColumn("_salt", F.lit("s")).withColumn("n", F.lit(1))
     heavy = skew.bounded(spark, skew.heavy_keys(df, "k", 0.05))
-    assert [r.k for r in heavy.collect()] == ["hot"]
-    got = skew.aggregate_by_key(df, "k", [F.sum("v").alias("s"), F.count(F.lit(1)).alias("c")], [F.sum("s").alias("s"), F.sum("c").alias("c")], heavy)
+    hot = {r.d: r.k for r in df.select("k", skew.digest("k").alias("d")).distinct().collect()}
+    assert [(hot[r._digest], r.heavy_rows) for r in heavy.collect()] == [("hot", 500)]
+    got = skew.aggregate_by_key(df, "k", [F.sum("v").alias("s"), F.count(F.lit(1)).alias("c")], [F.sum("s").alias("s"), F.sum("c").alias("c")], heavy, rows_per_salt=90)
     want = {"hot": (sum(range(500)), 500), None: (21, 3)} | {f"k{i}": (i, 1) for i in range(40)}
     assert {r.k: (r.s, r.c) for r in got.collect()} == want
     dim = spark.createDataFrame([("hot", 1), ("k3", 2), ("unused", 3)], "k string, v bigint")
@@ -118,6 +119,16 @@ def test_skewed_keys(spark):
     assert skew.skew_join(df.select("k", "v"), dim, "k", heavy, "inner").count() == 501
 
 
+def test_long_keys_are_split_by_their_estimate(spark):
+    long = "k" * 5000
+    df = spark.createDataFrame([(long, i) for i in range(400)] + [("x", i) for i in range(100)], "k string, v bigint")
+    heavy = skew.bounded(spark, skew.heavy_keys(df, "k", 0.5))
+    assert [r.heavy_rows for r in heavy.collect()] == [400]
+    salts = skew.salted(df, "k", heavy, 50, F.xxhash64("v")).groupBy("k").agg(F.countDistinct("_salt").alias("n"), F.count(F.lit(1)).alias("rows"))
+    assert {r.k[0]: (r.n, r.rows) for r in salts.collect()} == {"k": (8, 400), "x": (1, 100)}
+    assert skew.salted(df.limit(0), "k", heavy, 50, None).count() == 0
+
+
 def test_wide_table(spark):
     le = lambda n: n.to_bytes(8, "little", signed=True)
     import struct

@@ -30,6 +30,26 @@ def test_all_terms_heavy(spark):
     assert counts(spark.createDataFrame([(i, "a", "b") for i in range(9)] * 3, "id bigint, k string, v string")) == {("a", "b"): (27, 9)}
 
 
+def test_no_heavy_row_is_shuffled(spark):
+    """What is shuffled first: light rows, a set per record, and a sum per heavy term and task."""
+    data = [(i % 100, f"h{i % 70}") for i in range(7000)] + [(i, f"l{i}") for i in range(300)]
+    df = spark.createDataFrame(data, "id bigint, k string").repartition(3)
+    seen = []
+    run = frequency._count_heavy(spark.sparkContext.broadcast([f"{len(k)}:{k}" for k in sorted({k for _, k in data if k[0] == "h"})]))
+    import pyarrow as pa
+
+    rows = df.select("id", F.concat(F.length("k").cast("string"), F.lit(":"), "k").alias("t")).toArrow().to_batches()
+    for b in run([pa.RecordBatch.from_arrays([b.column("id"), b.column("t")], names=["_record", "_term"]) for b in rows]):
+        seen += b.to_pylist()
+    assert sum(r["_term"] is not None and r["_record"] is not None for r in seen) == 300
+    assert sum(r["_term"] is None for r in seen) <= 100 * len(rows) and sum(r["_record"] is None for r in seen) == 70
+    want = defaultdict(lambda: [0, set()])
+    for i, k in data:
+        want[k,][0] += 1
+        want[k,][1].add(i)
+    assert counts(df, ("k",)) == {t: (n, len(ids)) for t, (n, ids) in want.items()}
+
+
 def test_marks(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 25), ("e", 26)], "k string, records bigint")
     got = {r.k: r.mark for r in frequency.marks(df, F.lit(100)).collect()}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tilewright.session import scratch_path
 
 STRING, INT, DOUBLE = 0, 1, 2
+#: Bytes of source rows for each bucket, most buckets (a bound of Spark's own), and attributes that one leaf of the join tree takes.
+BUCKET_BYTES, MAX_BUCKETS, LEAF = 1 << 30, 100_000, 4
 SQL_TYPE = {STRING: "string", INT: "bigint", DOUBLE: "double"}
 
 
@@ -63,6 +65,27 @@ def read_value(wanted: int) -> Column:
     return F.coalesce(real, whole.cast("double"), number)
 
 
+def _buckets(rows: DataFrame) -> int:
+    """Buckets of the narrow tables by the size of their source: ``BUCKET_BYTES`` each, at least one per core."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)), MAX_BUCKETS)
+
+
+def _bucketed(rows: DataFrame, entity: str, n: int, label: str, *by: str) -> DataFrame:
+    """The rows written to the shared folder in ``n`` buckets of an entity's hash, sorted by entity, and read again.
+
+    Readers see their partitioning and order, so joins on the entity neither shuffle nor sort.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, label)
+    name = "tilewright_" + path.rsplit("/", 1)[1].replace("-", "_")
+    out = rows.repartition(n, F.col(f"`{entity}`")).write.format("parquet").option("path", path).bucketBy(n, entity).sortBy(entity)
+    (out.partitionBy(*by) if by else out).saveAsTable(name)
+    # one file per bucket and attribute: its order may be relied on
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    return spark.table(name)
+
+
 def widen(rows: DataFrame, schema: list[tuple[str, int]], entity: str = "feature_id", keep_all: bool = True) -> DataFrame:
     """One row per entity with a typed column for each ``(attribute, type)`` of ``schema``.
 
@@ -72,12 +95,12 @@ def widen(rows: DataFrame, schema: list[tuple[str, int]], entity: str = "feature
     the largest value). Rows with a null entity, key, value or an unknown type give
     nothing. With ``keep_all`` every entity of ``rows`` has a row.
 
-    The wanted rows are written once, partitioned by attribute, to the shared
-    folder: narrow typed tables. Each is hash-partitioned by entity and joined in
-    a balanced tree; every inner node starts from the same partitioned list of
-    entities, so no join shuffles its inputs again.
+    Rows are reduced to one per entity and attribute (in part before the shuffle, so an
+    entity of very many rows makes no task long) and written once to the shared folder, partitioned by
+    attribute: narrow typed tables, all in the same buckets of the entity's hash and sorted
+    by entity. They and the entity list are joined in a balanced tree of left joins,
+    whose leaves start from that list; no join shuffles or sorts.
     """
-    spark = rows.sparkSession
     attribute = F.lower(F.trim("key"))
     names = [a for a, _ in schema]
     if len(set(names)) != len(names) or entity in names:
@@ -89,30 +112,27 @@ def widen(rows: DataFrame, schema: list[tuple[str, int]], entity: str = "feature
     spine = spine.distinct()
     if not names:
         return spine
-    path = scratch_path(spark, "narrow")
+    n = _buckets(rows)
     typed = {kind: [a for a, k in schema if k == kind] for kind in SQL_TYPE}
-    cells = []
-    for kind, attrs in typed.items():
-        cells.append(F.when(F.col("attr").isin(attrs), read_value(kind)).alias(f"v{kind}"))
-    out = decoded(mine).select(entity, "seq", "attr", *cells)
+    read = [F.when(F.col("attr").isin(attrs), read_value(kind)).alias(f"v{kind}") for kind, attrs in typed.items()]
+    out = decoded(mine).select(entity, "seq", "attr", *read)
     out = out.where(F.coalesce(*[F.col(f"v{k}").cast("string") for k in typed]).isNotNull())
     # null seq sorts below every number in max(struct)
     out = out.groupBy(entity, "attr").agg(F.max(F.struct("seq", *[f"v{k}" for k in typed])).alias("best"))
-    out.select(entity, "attr", *[F.col(f"best.v{k}").alias(f"v{k}") for k in typed]).write.partitionBy("attr").parquet(path)
-    fields = f"`{entity}` {dict(rows.dtypes)[entity]}, " + ", ".join(f"v{k} {SQL_TYPE[k]}" for k in typed) + ", attr string"
-    written = spark.read.schema(fields).parquet(path)
+    written = _bucketed(out.select(entity, "attr", *[F.col(f"best.v{k}").alias(f"v{k}") for k in typed]), entity, n, "narrow", "attr")
+    listed = _bucketed(spine, entity, n, "entities")
 
     def narrow(name: str, kind: int) -> DataFrame:
-        return written.where(F.col("attr") == name).select(entity, F.col(f"v{kind}").alias(name))
+        return written.where(F.col("attr") == name).select(entity, F.col(f"v{kind}").alias(name)).hint("merge")
 
     def node(part: list[tuple[str, int]]) -> DataFrame:
-        if len(part) <= 2:
-            out = spine
+        if len(part) <= LEAF:
+            out = listed
             for name, kind in part:
                 out = out.join(narrow(name, kind), entity, "left")
             return out
         half = (len(part) + 1) // 2
-        return node(part[:half]).join(node(part[half:]), entity, "inner")
+        return node(part[:half]).join(node(part[half:]).hint("merge"), entity, "inner")
 
     return node(schema).select(entity, *[f"`{n}`" for n in names])
 

@@ -53,19 +53,33 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = getattr(spark.sparkContext, "_tilewright_dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = spark.sparkContext._tilewright_dir = tempfile.mkdtemp(prefix="tilewright-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found
 
 
+def _own(spark: SparkSession):
+    """File system and folder of this application's intermediate tables below the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tilewright-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tilewright/{label}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table; what lies there is deleted when the driver's JVM ends, or by :func:`clear_scratch`."""
+    files, folder = _own(spark)
+    if not getattr(spark.sparkContext, "_tilewright_scratch", False):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        spark.sparkContext._tilewright_scratch = True
+    return f"{folder.toString()}/{label}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that queries of any session wrote to the shared folder; call it when none is running."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tilewright")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the intermediate tables of this application; call it when no query of it is running."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("tilewright_"):
+            spark.sql(f"DROP TABLE `{t.name}`")
+    files, folder = _own(spark)
+    files.delete(folder, True)

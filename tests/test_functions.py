@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,9 +49,11 @@ def test_tiles(spark):
 
 
 def test_points_and_segments(spark):
-    assert round(one(spark, g.haversine_m(F.lit(7.06659), F.lit(50.88354), F.lit(6.96299), F.lit(50.93846)))[0]) == 9490
-    assert one(spark, g.bearing(F.lit(-10), F.lit(0), F.lit(0), F.lit(0)), g.bearing(F.lit(0), F.lit(0), F.lit(-10), F.lit(0))) == (90, 270)
-    assert one(spark, g.round8(F.lit(-5.4213000001)), g.round8(F.lit(10.9874000001))) == (-5.4213, 10.9874)
+    # one degree along a meridian, a quarter of the equator, and from pole to pole
+    for ends, part in (((3, 20, 3, 21), 1 / 360), ((-30, 0, 60, 0), 1 / 4), ((5, -90, 77, 90), 1 / 2)):
+        assert one(spark, g.haversine_m(*[F.lit(float(v)) for v in ends]))[0] == pytest.approx(2 * math.pi * 6371000 * part)
+    assert one(spark, g.bearing(F.lit(33), F.lit(-8), F.lit(33), F.lit(12)), g.bearing(F.lit(33), F.lit(12), F.lit(33), F.lit(-8))) == (0, 180)
+    assert one(spark, g.round8(F.lit(-71.250000004)), g.round8(F.lit(71.250000006))) == (-71.25, 71.25000001)
     assert tuple(one(spark, g.line_coefficients(F.lit(0), F.lit(3), F.lit(4), F.lit(1)))[0]) == (2, 4, 12)
     s = tuple(map(F.lit, (0.0, 0.0, 0.0, 2.0)))
     for other, want in (((-1, 1, 1, 1), (0, 1, True)), ((1, 1, 2, 1), (0, 1, False)), ((0, 3, 0, 4), (None, None, False))):

@@ -225,6 +225,82 @@ def plain_reason(text):
 @given(st.text(alphabet='"\t1a', max_size=12))
 def test_repair_against_a_scan(text):
     assert repair.parse(text, 3, {1: 90.0}, {1: "latitude"})[1] == plain_reason(text)
-    cost, edits = repair.quote_repair(text)
-    assert (cost == 0) == (plain_reason(text) != "quoting") and cost == len(edits)
-    assert repair.quote_repair(repair.apply_edits(text, edits))[0] == 0
+
+
+def split_plainly(text):
+    """Fields of a line, None if its quoting is not valid."""
+    fields, i, n = [], 0, len(text)
+    while True:
+        out = ""
+        if i < n and text[i] == '"':
+            i += 1
+            while True:
+                if i >= n:
+                    return None
+                if text[i] != '"':
+                    out, i = out + text[i], i + 1
+                elif text[i : i + 2] == '""':
+                    out, i = out + '"', i + 2
+                else:
+                    i += 1
+                    break
+            if i < n and text[i] != "\t":
+                return None
+        else:
+            while i < n and text[i] != "\t":
+                if text[i] == '"':
+                    return None
+                out, i = out + text[i], i + 1
+        fields.append(out)
+        if i >= n:
+            return fields
+        i += 1
+
+
+def brute_repair(text, width, checks):
+    """Every set of quote edits, then every set of delimiter edits."""
+    lines, q = {text}, 0
+    while not any(split_plainly(x) for x in lines):
+        lines = {y for x in lines for i in range(len(x) + 1) for y in [x[:i] + '"' + x[i:], *([x[:i] + x[i + 1 :]] if x[i : i + 1] == '"' else [])]}
+        q += 1
+    wrong = lambda c, v: int(c in checks and not repair.in_range(v, checks[c]))
+    best = None
+    for x in lines:
+        fields = split_plainly(x)
+        todo = [(0, 0, 0, 0)] if fields else []  # fields read, columns made, edits, wrong columns
+        while todo:
+            i, j, d, t = todo.pop()
+            if best and (d, t) > best:
+                continue
+            if i == len(fields) and j == width:
+                best = min(best or (d, t), (d, t))
+            if j < width:
+                todo.append((i, j + 1, d + 1, t + wrong(j, "")))
+                for k in range(i + 1, len(fields) + 1):
+                    todo.append((k, j + 1, d + k - i - 1, t + wrong(j, "".join(fields[i:k]))))
+    return q, *best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='"\t1a', max_size=7), st.integers(1, 3))
+def test_repair_is_the_cheapest(text, width):
+    for checks in ({}, {min(1, width - 1): 90.0}):
+        q, d, t, edits = repair.repair(text, width, checks)
+        assert (q, d, t) == brute_repair(text, width, checks)
+        assert (sum("quote" in e for e, _ in edits), sum("delimiter" in e for e, _ in edits)) == (q, d)
+
+
+@pytest.mark.parametrize(
+    ("text", "width", "edits"),
+    [('"a\tb\tc', 1, ["insert_quote @6"]), ('"a\tb\tc', 2, ["insert_quote @4"]), ('"a\tb"x\tc', 2, ["delete_quote @4", "insert_quote @6"]), ('x\ta\tb"\tc', 4, ["delete_quote @5"]), ('x\ta\tb"\tc', 3, ["insert_quote @2"])],
+)
+def test_quote_edits_mind_the_columns(text, width, edits):
+    q, d, t, _ = repair.repair(text, width, {})
+    assert d == 0 and q <= len(edits)
+    assert repair.parse(text, width, {}, {})[2].count("@") == q
+
+
+def test_all_edits_are_shown():
+    said = repair.parse("\t" * 60, 1, {}, {})[2]
+    assert said.count("delete_delimiter") == 60
+    assert repair.repair("a\t" * 20_000, 19, {})[1] == 19_982

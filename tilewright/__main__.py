@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     i = sub.add_parser("inspect", help="features as lines of text")
     i.add_argument("input")
     i.add_argument("--colour", action="store_true")
-    i.add_argument("--limit", type=int, default=1000, help="lines shown")
+    i.add_argument("--limit", type=int, help="lines shown; all without it")
     return p
 
 
@@ -64,9 +64,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> None:
             rules = parse_rules(f.read())
     if a.program == "convert":
         inputs = a.inputs.split(",")
-        kind = a.in_codec or formats.format_of(inputs[0])
-        options = {"lat": a.csv_lat, "lon": a.csv_lon, "sep": a.csv_delimiter} if kind == "csv" else {}
-        formats.convert(spark, inputs, a.out, rules, **options, **({"kind": a.in_codec} if a.in_codec else {}))
+        formats.convert(spark, inputs, a.out, rules, a.in_codec, {"csv": {"lat": a.csv_lat, "lon": a.csv_lon, "sep": a.csv_delimiter}})
     elif a.program == "spatialize":
         formats.write_features(formats.spatialize(spark, a.input, rules), a.out)
     elif a.program == "tile":
@@ -75,7 +73,8 @@ def main(args: list[str], spark: SparkSession | None = None) -> None:
             features = filter_box(features, a.bbox)
         formats.make_tiles(features, a.zoom, a.out, a.codec, None if a.no_default_layer else "default", a.compress)
     else:
-        for row in formats.inspect(formats.read_features(spark, a.input), a.colour).limit(a.limit).toLocalIterator():
+        lines = formats.inspect(formats.read_features(spark, a.input), a.colour)
+        for row in (lines if a.limit is None else lines.limit(a.limit)).toLocalIterator():
             print(row.value)
 
 

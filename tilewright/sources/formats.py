@@ -51,13 +51,14 @@ def write_features(features: DataFrame, path: str, kind: str | None = None, mode
         raise ValueError(f"cannot write {kind}")
 
 
-def concatenated(spark: SparkSession, paths: list[str], kind: str | None = None, **options) -> DataFrame:
-    """All features of all inputs, each once."""
-    return reduce(DataFrame.unionByName, [read_features(spark, p, kind, **options) for p in paths])
+def concatenated(spark: SparkSession, paths: list[str], kind: str | None = None, options: dict[str, dict] | None = None) -> DataFrame:
+    """All features of all inputs, each once; they may differ in format, and ``options`` has those of each format."""
+    kinds = [kind or format_of(p) for p in paths]
+    return reduce(DataFrame.unionByName, [read_features(spark, p, k, **(options or {}).get(k, {})) for p, k in zip(paths, kinds, strict=True)])
 
 
-def convert(spark: SparkSession, inputs: list[str], out: str, rules: list[mapping.Rule] | None = None, **options) -> None:
-    write_features(mapping.apply_rules(concatenated(spark, inputs, **options), rules or []), out)
+def convert(spark: SparkSession, inputs: list[str], out: str, rules: list[mapping.Rule] | None = None, kind: str | None = None, options: dict[str, dict] | None = None) -> None:
+    write_features(mapping.apply_rules(concatenated(spark, inputs, kind, options), rules or []), out)
 
 
 def spatialize(spark: SparkSession, extract: str, rules: list[mapping.Rule] | None = None) -> DataFrame:

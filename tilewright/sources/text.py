@@ -34,7 +34,7 @@ def read_geojson(spark: SparkSession, path: str, srid: str | None = None) -> Dat
     known = F.create_map(*[F.lit(v) for pair in geojson.SRID_OF_CRS.items() for v in pair])
     own = known[F.col("crs.properties.name")]
     if srid is not None:
-        own = F.when(own.isNotNull() & (own != srid), F.raise_error(F.lit("incompatible projections"))).otherwise(F.lit(srid))
+        own = F.when(own.isNotNull() & (own != srid), F.raise_error(F.concat(F.lit("coordinates are in "), own, F.lit(f", not in {srid}")))).otherwise(F.lit(srid))
     return _features(files.select(F.explode("features").alias("f"), own.alias("own")), F.col("f"), F.col("own"))
 
 

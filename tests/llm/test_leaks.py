@@ -52,10 +52,11 @@ def test_long_texts_cross_lanes():
 
 @pytest.mark.parametrize("block", [10, 20_000_000])
 def test_tables(spark, monkeypatch, block):
-    monkeypatch.setattr(leaks, "ITEM_BLOCK_CHARS", block)
+    monkeypatch.setattr(leaks, "ITEM_CHARS", block)
+    monkeypatch.setattr(leaks, "SIEVE_BITS", 12)
     item = " ".join(f"word{i}" for i in range(15))
     docs = [(1, "Intro. " + item.upper() + " end"), (2, None), (3, ""), (4, " ".join(item.split()[:9])), (5, "\\textbf{" + ", ".join(item.split()[3:13]) + "}"), (None, item), (1, item)]
-    items = [(7, item), (8, "too short"), (9, None), (None, item), (10, item), (7, item)]
+    items = [(7, item), (8, "too short"), (9, None), (None, item), (10, item), (7, item), (10, "more " + item)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(0)).withColumn("r", F.lit(0))
     got = leaks.leaked(d, "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text").collect()
     want = {(a, b, n) for a, n in ((1, 6), (5, 1), (None, 6)) for b in (7, 10)}
@@ -63,3 +64,20 @@ def test_tables(spark, monkeypatch, block):
     none = leaks.leaked(d, "doc_id", "text", spark.createDataFrame([], "item_id bigint, text string"), "item_id", "text")
     assert none.count() == 0
     assert leaks.leaked(d.limit(0), "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text").count() == 0
+
+
+def test_items_that_share_runs_and_texts_of_one_item():
+    r = random.Random(4)
+    shared = [f"s{i}" for i in range(12)]
+    items = [(i, shared + [f"i{i}w{j}" for j in range(r.randrange(12))]) for i in range(300)] + [(5, ["x", *shared])]
+    search = leaks.PatternSearch(items, 10)
+    assert len(search.items) == 300
+    got = search.find([shared, ["y", *shared, "i7w0"], shared[:9]])
+    assert {(a, search.items[k]) for a, k, _ in got} == {(a, i) for a in (0, 1) for i in range(300)} and len(got) == 600
+
+
+def test_shift_table_grows_with_the_items():
+    r = random.Random(5)
+    items = [(i, [f"w{r.randrange(50_000)}" for _ in range(200)]) for i in range(500)]
+    search = leaks.PatternSearch(items, 10)
+    assert (search.shift == 0).mean() < 0.1

@@ -33,6 +33,17 @@ def test_long_repeats():
     assert got["n_repeated"].tolist() == [4995, 0, 1996] and got["longest"].tolist() == [4999, 0, 2000] and got["n_covered"].tolist() == [5000, 0, 3000]
 
 
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    words = ["a"] * 400_000
+    tracemalloc.start()
+    got = repetition([words], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["longest"].tolist() == [399_999] and peak < 400_000 * 260
+
+
 def test_table(spark):
     phrase = "one two three four five six "
     data = [(1, phrase * 3), (2, None), (3, ""), (4, "a b c d"), (5, phrase), (1, phrase * 3), (None, phrase * 2)]

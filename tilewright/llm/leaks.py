@@ -21,10 +21,12 @@ from tilewright.session import ship
 
 #: Words of a block; a window moves by at most length - BLOCK + 1 words.
 BLOCK = 3
-#: Slots of the shift table, and words of a text that one lane of the search reads.
-SLOTS, LANE = 1 << 20, 512
-#: Characters of items that are searched for at once; more items are searched in further passes.
-ITEM_BLOCK_CHARS = 20_000_000
+#: Words of a text that one lane of the search reads, and slots of the shift table for each word of the items.
+LANE, SLOTS_PER_WORD = 512, 16
+#: Characters of items up to which they are broadcast and searched for in tables; beyond it their runs are joined.
+ITEM_CHARS = 20_000_000
+#: Bits (as a power of two) of the sieve that passes over most text places before that join.
+SIEVE_BITS = 27
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,45 +35,63 @@ def _mix(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _hash(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """64 bits of the ``n`` words from each place."""
+    h = np.zeros(len(at), np.uint64)
+    for i in range(n):
+        h = _mix(h, words[at + i])
+    return h
+
+
 class PatternSearch:
     """Wu-Manber search for all runs of ``length`` words of all items.
 
     Items stay one flat array of word numbers; a pattern is a place in it, so the
-    tables take a few dozen bytes per word of the items.
+    tables take a few dozen bytes per word of the items. Texts of one item id are one item.
+    Equal runs are one pattern with a list of its items.
     """
 
     def __init__(self, items: Iterable[tuple[object, list[str]]], length: int) -> None:
         self.m, self.block = length, min(BLOCK, length)
-        self.items: list[object] = []
         self.vocabulary: dict[str, int] = {}
-        sizes, numbers, known = [], array("i"), self.vocabulary
+        numbers_of: dict[object, int] = {}
+        sizes, owners, numbers, known = [], [], array("i"), self.vocabulary
         for name, ws in items:
-            self.items.append(name)
+            owners.append(numbers_of.setdefault(name, len(numbers_of)))
             sizes.append(len(ws))
             numbers.extend(known.setdefault(w, len(known) + 1) for w in ws)
+        self.items = list(numbers_of)
         size = np.array(sizes, np.int64)
         self.words = np.array(numbers, np.int32)
-        ends = np.cumsum(size)
-        item = np.repeat(np.arange(len(size)), size)
-        place = np.flatnonzero(np.arange(len(self.words)) + length <= ends[item]) if len(item) else np.zeros(0, np.int64)
+        ends = np.repeat(np.cumsum(size), size)
+        place = np.flatnonzero(np.arange(len(self.words)) + length <= ends) if len(ends) else np.zeros(0, np.int64)
+        self.bits = max(16, int(SLOTS_PER_WORD * len(self.words)).bit_length())
         step = length - self.block + 1
-        self.shift = np.full(SLOTS, step, np.int32)
+        self.shift = np.full(1 << self.bits, step, np.uint8 if step < 256 else np.int32)
         for q in range(step):  # a block that ends q + block words into a pattern allows a move of the words behind it
-            slots = self._slot(self._block(self.words, place + q))
+            slots = self._slot(_hash(self.words, place + q, self.block))
             self.shift[slots] = np.minimum(self.shift[slots], step - 1 - q)
-        tails = self._block(self.words, place + step - 1) ^ (self._block(self.words, place) * MIX)
-        order = np.argsort(tails, kind="stable")
-        self.tails, self.place, self.item = tails[order], place[order], item[place[order]]
-
-    def _block(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(at), np.uint64)
-        for i in range(self.block):
-            h = _mix(h, words[at + i])
-        return h
+        tails = self._key(_hash(self.words, place + step - 1, self.block), _hash(self.words, place, self.block))
+        order = np.lexsort((_hash(self.words, place, length), tails))
+        tails, place = tails[order], place[order]
+        new = np.ones(len(place), bool)
+        if len(place):
+            new[1:] = tails[1:] != tails[:-1]
+            for i in range(length):
+                new[1:] |= self.words[place[1:] + i] != self.words[place[:-1] + i]
+        start = np.flatnonzero(new)
+        self.tails, self.place = tails[start], place[start]
+        owner = np.repeat(np.array(owners, np.int64), size)[place] if len(place) else place
+        pairs = np.unique(np.stack([np.cumsum(new) - 1, owner], axis=1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
+        self.owner = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(start) + 1))
 
     @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(44)).astype(np.int64)
+    def _key(tail: np.ndarray, head: np.ndarray) -> np.ndarray:
+        return tail ^ (head * MIX)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, texts: list[list[str]]) -> list[tuple[int, int, int]]:
         """(text, item, places of the text at which a run of the item ends), each pair once."""
@@ -90,18 +110,18 @@ class PatternSearch:
         hits: list[np.ndarray] = []
         back, along = np.arange(self.m)[::-1], np.arange(self.m)
         while len(pos):
-            tail = self._block(w, pos - self.block + 1)
+            tail = _hash(w, pos - self.block + 1, self.block)
             move = self.shift[self._slot(tail)].astype(np.int64)
             still = np.flatnonzero(move == 0)
             if len(still):
-                key = tail[still] ^ (self._block(w, pos[still] - self.m + 1) * MIX)
+                key = self._key(tail[still], _hash(w, pos[still] - self.m + 1, self.block))
                 lo, hi = np.searchsorted(self.tails, key, "left"), np.searchsorted(self.tails, key, "right")
-                for k in range(int((hi - lo).max())):  # patterns of one bucket, one after the other
+                for k in range(int((hi - lo).max())):  # different patterns of one bucket, one after the other
                     some = np.flatnonzero(lo + k < hi)
                     p = lo[some] + k
                     at = pos[still[some]]
                     same = (w[at[:, None] - back] == self.words[self.place[p][:, None] + along]).all(axis=1)
-                    hits.append(np.stack([text[still[some[same]]], self.item[p[same]], at[same]], axis=1))
+                    hits.append(np.stack([text[still[some[same]]], p[same], at[same]], axis=1))
                 move[still] = 1
             pos = pos + move
             go = pos < stop
@@ -109,6 +129,9 @@ class PatternSearch:
         found = np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
         if not len(found):
             return []
+        n = self.first[found[:, 1] + 1] - self.first[found[:, 1]]
+        at = np.repeat(self.first[found[:, 1]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        found = np.stack([np.repeat(found[:, 0], n), self.owner[at], np.repeat(found[:, 2], n)], axis=1)
         places = np.unique(found, axis=0)  # a text's place counts once for an item that says the run twice
         pairs, n = np.unique(places[:, :2], axis=0, return_counts=True)
         return [(a, k, c) for (a, k), c in zip(pairs.tolist(), n.tolist(), strict=True)]
@@ -118,26 +141,58 @@ def leaked(docs: DataFrame, record: str, text: str, items: DataFrame, item: str,
     """``record, item, n_runs``: texts that hold at least ``length`` consecutive words of an item; n_runs counts the places.
 
     Null and empty texts, texts and items with fewer words, and null ids of items
-    give no row; a row of ``docs`` that is repeated gives its rows again. Items are
-    a stated set: they are read in blocks of bounded size, each block is broadcast
-    and searched for in all texts, so any number of items can be given.
+    give no row; a row of ``docs`` that is repeated gives its rows again; texts of one item id are one item. The texts are read
+    once. Items of up to ``ITEM_CHARS`` characters in all are broadcast and searched for; more
+    of them never meet in one place: their runs are joined with the places of the
+    texts that a sieve of fixed size lets through, run by run, as text.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(item, item_text).distinct()
-    chars = rows.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
-    blocks = max(1, -(-chars // ITEM_BLOCK_CHARS))
-    kind, item_kind = dict(docs.dtypes)[record], dict(items.dtypes)[item]
+    rows = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
     source = docs.selectExpr(f"`{record}` as r", f"`{text}` as t")
-    found = []
-    for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).collect()  # a block of about ITEM_BLOCK_CHARS
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part])
-        found.append(source.mapInArrow(_finder(shared, length, record, item), f"`{record}` {kind}, `{item}` {item_kind}, n_runs bigint"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    kind, item_kind = dict(docs.dtypes)[record], dict(items.dtypes)[item]
+    chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    if chars <= ITEM_CHARS:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])  # at most ITEM_CHARS
+        return source.mapInArrow(_finder(shared, length, record, item), f"`{record}` {kind}, `{item}` {item_kind}, n_runs bigint")
+    runs = rows.mapInArrow(_runs(length, None), f"i {item_kind}, n bigint, at int, h bigint, run string").select("i", "run", "h").distinct()
+    words = runs.groupBy(F.shiftrightunsigned("h", 64 - SIEVE_BITS + 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - SIEVE_BITS}) & 63 as int))")).alias("b"))
+    sieve = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    got = words.toArrow()  # at most 2^SIEVE_BITS bits
+    sieve[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    rows = source.withColumnRenamed("r", "i").mapInArrow(_runs(length, spark.sparkContext.broadcast(sieve)), f"i {kind}, n bigint, at int, h bigint, run string")
+    met = rows.select(F.col("i").alias("r"), "n", "at", "run").join(runs.select("i", "run"), "run")
+    met = met.groupBy("r", "n", "i").agg(F.countDistinct("at").alias("n_runs"))
+    return met.select(F.col("r").alias(record), F.col("i").alias(item), "n_runs")
+
+
+def _runs(length: int, sieve):
+    """Runs of ``length`` words of each row ``(i, t)``: the id, a number for the row, the place, 64 bits and the text of the run, if the sieve lets it through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch, "t"):
+                for n, t in enumerate(part.column("t").to_pylist()):
+                    row += 1
+                    ws = words(t)
+                    if len(ws) < length:
+                        continue
+                    codes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ws), np.uint64, len(ws))
+                    h = _hash(codes, np.arange(len(ws) - length + 1), length)
+                    at = np.arange(len(h))
+                    if sieve is not None:
+                        bit = h >> np.uint64(64 - SIEVE_BITS)
+                        at = np.flatnonzero(sieve.value[(bit >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (bit & np.uint64(63)) & np.uint64(1))
+                    if len(at):
+                        texts = pa.array([" ".join(ws[k : k + length]) for k in at.tolist()], pa.string())
+                        own = part.column("i").take(pa.array(np.full(len(at), n)))
+                        yield pa.RecordBatch.from_arrays([own, pa.array(np.full(len(at), row)), pa.array(at, pa.int32()), pa.array(h[at].view(np.int64)), texts], names=["i", "n", "at", "h", "run"])
+
+    return run
 
 
 #: The last tables a worker built, with the broadcast items they are of.

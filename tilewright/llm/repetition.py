@@ -28,7 +28,7 @@ def suffix_order(symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, li
     s = symbols[order]
     new = np.ones(n, bool)
     new[1:] = s[1:] != s[:-1]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # one array a round is kept
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank is its first place
     levels, k = [rank], 1
     while True:
@@ -38,7 +38,7 @@ def suffix_order(symbols: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, li
             return order, levels
         at = order[tied]
         behind = at + k
-        second = np.where(behind < stops[at], rank[np.minimum(behind, n - 1)] + 1, 0)
+        second = np.where(behind < stops[at], rank[np.minimum(behind, n - 1)] + np.int64(1), 0)
         first = rank[at]
         o = np.lexsort((second, first))
         order[tied] = at[o]

@@ -43,6 +43,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalikes(table(spark, d, "gn_excerpt"), "geonameid", ["name", "alternatenames"])
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Records by classes of spellings that look the same."""
+    return lookalike.look_classes(table(spark, d, "gn_excerpt"), "geonameid", ["name", "alternatenames"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
 
@@ -73,19 +78,23 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return got.where((F.col("n_windows") > 0) & (F.col("n_repeated") * 10 >= F.col("n_windows") * REPEATED_TENTHS)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p8_ids, p9_found, p9_leaks, p10_found, p10_shares, p10_repeats)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_classes, p8_ids, p9_found, p9_leaks, p10_found, p10_shares, p10_repeats)}
 
 _COUNTS = """n AS (SELECT count(DISTINCT feature_id) AS total FROM tags),
 terms AS (SELECT feature_id, 'key' AS scope, key AS tag_key, '' AS tag_value FROM tags WHERE key IS NOT NULL
   UNION ALL SELECT feature_id, 'pair', key, decode(value) FROM tags WHERE key IS NOT NULL AND type = 0 AND value IS NOT NULL),
 counts AS (SELECT scope, tag_key, tag_value, count(*) AS occurrences, count(DISTINCT feature_id) AS records FROM terms GROUP BY ALL),
 marked AS (SELECT counts.*, CASE WHEN records <= 2 THEN 'rare' WHEN records * 4 > total THEN 'common' END AS mark FROM counts, n)"""
-_TABLES = [lookalike.GREEK, lookalike.CYRILLIC, lookalike.ARMENIAN, lookalike.CHEROKEE, lookalike.LATIN]
-_FROM, _TO = "".join(a for a, _ in _TABLES) + "ЀЁЇѐёї", "".join(b for _, b in _TABLES) + "ÈËÏèëï"
+# Letters of the two other scripts in the gazetteer and the Latin letters that look like them.
+_ALIKE = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορστυ", "ABEZHIKMNOPTYXayiĸvopoᴛu"), ("АВЕЅІЈКМНОРСТУХҮԜаегѕіјкорстухһүѵԁԛԝ", "ABESIJKMHOPCTYXYWaersijĸopcᴛyxhyvdqw")
+_FROM, _TO = "".join(a for a, _ in _ALIKE) + "ЀЁЇѐёї", "".join(b for _, b in _ALIKE) + "ÈËÏèëï"
 _WIDE_FORMS = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 _SKELETON = f"""nfc_normalize(translate(translate(nfc_normalize(regexp_replace(regexp_replace(text,
   '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '[\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g')),
   '{_WIDE_FORMS[0]}', '{_WIDE_FORMS[1]}'), '{_FROM}', '{_TO}'))"""
+_LOOKS = f"""src AS (SELECT DISTINCT 'name' AS field, geonameid AS id, name AS text FROM gn_excerpt WHERE name <> ''
+  UNION SELECT 'alternatenames', geonameid, alternatenames FROM gn_excerpt WHERE alternatenames <> ''),
+sk AS (SELECT field, id, text, {_SKELETON} AS s FROM src)"""
 _WORDS = """w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '\\\\[A-Za-z]+', ' ', 'g')), '[\\pL\\pN]+') AS w FROM documents)"""
 _RUNS = f"""{_WORDS},
 iw AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '\\\\[A-Za-z]+', ' ', 'g')), '[\\pL\\pN]+') AS w FROM eval_items),
@@ -100,10 +109,10 @@ rep AS (SELECT doc_id, count(*) AS n_windows, count(*) - count(DISTINCT run) AS
 SQL = {
     "p1_counts": f"WITH {_COUNTS} SELECT * FROM marked",
     "p1_found": f"WITH {_COUNTS} SELECT scope, tag_key, tag_value, mark FROM marked WHERE mark IS NOT NULL",
-    "p3_found": f"""WITH src AS (SELECT DISTINCT 'name' AS field, geonameid AS id, name AS text FROM gn_excerpt WHERE name <> ''
-  UNION SELECT 'alternatenames', geonameid, alternatenames FROM gn_excerpt WHERE alternatenames <> ''),
-sk AS (SELECT field, id, text, {_SKELETON} AS s FROM src)
+    "p3_found": f"""WITH {_LOOKS}
 SELECT DISTINCT a.field, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM sk a JOIN sk b ON a.field = b.field AND a.s = b.s AND a.text < b.text AND a.id <> b.id""",
+    "p3_classes": f"""WITH {_LOOKS}, c AS (SELECT field, s, min(id) AS class_id, count(DISTINCT text) AS n_spellings, count(DISTINCT id) AS n_records FROM sk GROUP BY field, s)
+SELECT DISTINCT field, id, class_id, n_spellings, n_records FROM sk JOIN c USING (field, s) WHERE n_spellings > 1""",
     "p9_leaks": f"WITH {_RUNS} SELECT doc_id, item_id, count(*) AS n_runs FROM dr JOIN ir USING (run) GROUP BY doc_id, item_id",
     "p9_found": f"WITH {_RUNS} SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)",
     "p10_shares": f"""WITH {_WINDOWS},

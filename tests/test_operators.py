@@ -93,6 +93,35 @@ def test_points_in_polygons(spark):
     assert [i for i, _ in rows(nearby.containing_regions(edge, square, "exclude"))] == [6]
 
 
+def test_polygon_of_very_many_edges(spark):
+    """A strip holds few of its edges, whatever their number."""
+    n = 100_000
+    ring = [(30 + (10 + math.sin(i)) * math.cos(2 * math.pi * i / n), 10 + (10 + math.sin(i)) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    df = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in ring]])], f"region bigint, rings {RINGS_DDL}")
+    edges = nearby.polygon_edges(df)
+    assert tuple(edges.agg(F.min("fine") >= 8, F.count(F.lit(1))).first()) == (True, n)
+    r = random.Random(1)
+    pts = [(i, r.uniform(-2, 22), r.uniform(18, 42)) for i in range(400)]
+    got = {r.id for r in nearby.containing_regions(spark.createDataFrame(pts, "id bigint, lat double, lon double"), df).collect()}
+
+    def inside(x, y):
+        return sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+    assert got == {i for i, lat, lon in pts if inside(lon, lat)}
+
+
+def test_cells_of_many_polygons_and_many_points(spark, monkeypatch):
+    monkeypatch.setattr(nearby, "ROWS_PER_SALT", 20)
+    monkeypatch.setattr(boxes, "ROWS_PER_SALT", 20)
+    squares = [(i, [[{"x": 5 + i / 1e4, "y": 5.0}, {"x": 6.0, "y": 5.0}, {"x": 6.0, "y": 6.0}, {"x": 5 + i / 1e4, "y": 6.0}]]) for i in range(100)]
+    pts = [(i, 5.5, 5 + i / 1e4) for i in range(150)]
+    got = rows(nearby.containing_regions(spark.createDataFrame(pts, "id bigint, lat double, lon double"), spark.createDataFrame(squares, f"region bigint, rings {RINGS_DDL}")))
+    assert got == sorted((i, k) for i, _, x in pts for k in range(100) if 5 + k / 1e4 <= x)
+    ddl = "id int, box struct<minx:double,miny:double,maxx:double,maxy:double>"
+    a = spark.createDataFrame([(i, (1.0, 1.0, 1.1, 1.1)) for i in range(90)], ddl)
+    assert len(set(rows(boxes.box_join(a, a)))) == 8100 == boxes.box_join(a, a).count()
+
+
 def test_box_join_against_all_pairs(spark):
     r = random.Random(9)
     make = lambda n, big: [(i, (x := r.uniform(-185, 180), y := r.uniform(-90, 90), x + r.choice([0, 0.01, 1, big]), y + r.choice([0, 0.01, 2, big]))) for i in range(n)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import bbox, bbox_intersects, bbox_overlaps_corner, geom_bbox
-from tilewright.operators.skew import bounded, heavy_keys, salted
+from tilewright.operators.skew import both_salted, bounded, heavy_keys
 
 
 def extent(features: DataFrame, geom: str = "geom") -> DataFrame:
@@ -21,6 +21,8 @@ def filter_box(features: DataFrame, box: tuple[float, float, float, float], geom
     return features.where(test(geom_bbox(F.col(geom)), bbox(*box)))
 
 
+#: Boxes of one cell and side that a task takes before the cell is salted.
+ROWS_PER_SALT = 4000
 #: Cells along an axis that a box may cover before it moves to a coarser level.
 SPREAD, FINEST = 4, 18
 
@@ -64,9 +66,9 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str = "box", right_box
     key = lambda cell: (F.col("la").cast("long") * 32 + F.col("lb")) * F.lit(1 << 42) + cell
     a = a.select("id_a", "a", "la", "lb", F.explode(_cells(F.col("a"), level)).alias("cell")).select("id_a", "a", "la", "lb", "cell", key(F.col("cell")).alias("k"))
     b = b.select("id_b", "b", "la", "lb", F.explode(_cells(F.col("b"), level)).alias("cell")).select("id_b", "b", key(F.col("cell")).alias("k"))
-    heavy = bounded(spark, heavy_keys(a, "k", 0.005))
-    a, b = salted(a, "k", heavy, 4000, F.xxhash64("id_a")), salted(b, "k", heavy, 4000, None)
-    met = a.join(b, ["k", "_salt"]).where(bbox_intersects(F.col("a"), F.col("b")))
+    many_a, many_b = bounded(spark, heavy_keys(a, "k", 0.005)), bounded(spark, heavy_keys(b, "k", 0.005))
+    a, b = both_salted(a, b, "k", many_a, many_b, ROWS_PER_SALT, F.xxhash64("id_a"), F.xxhash64("id_b"))
+    met = a.join(b, ["k", "_sa", "_sb"]).where(bbox_intersects(F.col("a"), F.col("b")))
     corner = F.struct(
         F.greatest("a.minx", "b.minx").alias("minx"), F.greatest("a.miny", "b.miny").alias("miny"),
         F.greatest("a.minx", "b.minx").alias("maxx"), F.greatest("a.miny", "b.miny").alias("maxy"),

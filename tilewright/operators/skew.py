@@ -112,3 +112,15 @@ def salted(df: DataFrame, key: str | Sequence[str], heavy: DataFrame, rows_per_s
     n = salts_of(F.col("_heavy_rows"), rows_per_salt)
     salt = F.explode(F.sequence(F.lit(0), n - 1)) if spread is None else F.pmod(spread, n).cast("int")
     return out.withColumn("_salt", salt).drop("_heavy_rows")
+
+
+def both_salted(left: DataFrame, right: DataFrame, key: str, heavy_left: DataFrame, heavy_right: DataFrame, rows_per_salt: int, spread_left: Column, spread_right: Column) -> tuple[DataFrame, DataFrame]:
+    """The two sides of an equi-join with ``_sa`` and ``_sb``, to be joined on (key, _sa, _sb).
+
+    A key with very many rows on either side is split there and repeated on the other; with very many on both, every
+    part of one side meets every part of the other.
+    """
+    name = lambda df, c: df.withColumnRenamed("_salt", c)
+    left = name(salted(name(salted(left, key, heavy_left, rows_per_salt, spread_left), "_sa"), key, heavy_right, rows_per_salt, None), "_sb")
+    right = name(salted(name(salted(right, key, heavy_left, rows_per_salt, None), "_sa"), key, heavy_right, rows_per_salt, spread_right), "_sb")
+    return left, right

@@ -44,6 +44,39 @@ def test_polygon_clip():
     assert geometry.clip_polygon([big, hole], (2.5, 2.5, 3.5, 3.5)) == []
 
 
+def test_holes_at_the_border():
+    clip = geometry.clip_polygon
+    outer, hole = [(-10, -10), (10, -10), (10, 10), (-10, 10)], [(-5, -5), (5, -5), (5, 5), (-5, 5)]
+    (part,) = clip([outer, hole], (-5, -5, 10, 5))
+    assert len(part) == 1 and set(part[0]) == {(5, -5), (10, -5), (10, 5), (5, 5)}
+    assert clip([outer, hole], (-5, -5, 5, 5)) == []
+    (part,) = clip([outer, hole], (-5, -9, 9, 9))
+    assert len(part) == 1 and area([part]) == 2 * (14 * 18 - 100)
+    # a hole that touches two sides cuts what is left in two
+    diamond = [(0, -5), (5, 0), (0, 5), (-5, 0)]
+    parts = clip([outer, diamond], (-5, -9, 5, 9))
+    assert len(parts) == 2 and all(len(p) == 1 for p in parts) and area(parts) == 2 * (10 * 18 - 50)
+    # one that touches in one point stays a hole
+    (part,) = clip([outer, diamond], (-5, -9, 9, 9))
+    assert len(part) == 2 and area([part]) == 2 * (14 * 18 - 50)
+
+
+def test_vertices_at_the_border_against_points():
+    """Rings with vertices of a small grid, so that many lie on the border: every point is inside as before."""
+    r = random.Random(8)
+    for _ in range(3000):
+        ring = [(r.randrange(7), r.randrange(7)) for _ in range(r.randrange(3, 6))]
+        ring = [(float(x), float(y)) for x, y in ring]
+        if not geometry.valid_topology([ring]) or len(set(ring)) < len(ring) or geometry.signed_area2(ring) == 0:
+            continue
+        box = (1.0, 2.0, 5.0, 6.0)
+        parts = geometry.clip_polygon([[(-9.0, -9.0), (20.0, -9.0), (20.0, 20.0), (-9.0, 20.0)], ring], box), geometry.clip_polygon([ring], box)
+        for x, y in [(1 + 4 * (i + 0.37) / 8, 2 + 4 * (j + 0.41) / 8) for i in range(8) for j in range(8)]:
+            inside = geometry.in_ring((x, y), ring)
+            assert sum(geometry.in_ring((x, y), q) for p in parts[1] for q in p) % 2 == inside, (ring, x, y)
+            assert sum(geometry.in_ring((x, y), q) for p in parts[0] for q in p) % 2 == (not inside), (ring, x, y)
+
+
 def star(n, seed):
     r = random.Random(seed)
     return [(math.cos(2 * math.pi * i / n) * (s := r.uniform(0.2, 2)), math.sin(2 * math.pi * i / n) * s) for i in range(n)]

@@ -173,20 +173,39 @@ def _along(a: Point, b: Point, box: Box) -> bool:
     return any(a[i] == b[i] == box[j] for i, j in ((0, 0), (0, 2), (1, 1), (1, 3)))
 
 
+def _on_border(p: Point, box: Box) -> bool:
+    return p[0] in (box[0], box[2]) or p[1] in (box[1], box[3])
+
+
+def _heading(p: Point, box: Box) -> Point:
+    """Direction of the border, counter-clockwise, behind a border point."""
+    if p[1] == box[1] and p[0] < box[2]:
+        return 1.0, 0.0
+    if p[0] == box[2] and p[1] < box[3]:
+        return 0.0, 1.0
+    return (-1.0, 0.0) if p[1] == box[3] and p[0] > box[0] else (0.0, -1.0)
+
+
+def _turn(before: Point, at: Point, heading: Point) -> float:
+    """Angle to the left between the way that comes from ``before`` and the heading behind ``at``."""
+    dx, dy = at[0] - before[0], at[1] - before[1]
+    return math.atan2(dx * heading[1] - dy * heading[0], dx * heading[0] + dy * heading[1])
+
+
 def _chains(ring: Line, box: Box) -> list[Line] | None:
-    """Stretches of the ring inside the box, from border to border; None if the whole ring is inside."""
-    if _inside(ring, box):
+    """Stretches of the ring inside the box, from border to border; None if the whole ring is inside and touches the border in one point at most."""
+    if _inside(ring, box) and sum(_on_border(p, box) for p in ring) < 2:
         return None
     chains: list[Line] = []
     for i in range(len(ring)):
         part = clip_segment(ring[i - 1], ring[i], box)
         if part is None or _along(*part, box):
             continue
-        if chains and chains[-1][-1] == part[0]:
+        if chains and chains[-1][-1] == part[0] and not _on_border(part[0], box):
             chains[-1].append(part[1])
         else:
             chains.append(list(part))
-    if len(chains) > 1 and chains[-1][-1] == chains[0][0]:
+    if len(chains) > 1 and chains[-1][-1] == chains[0][0] and not _on_border(chains[0][0], box):
         chains[0] = chains.pop() + chains[0][1:]
     return chains
 
@@ -280,7 +299,12 @@ def _clip_simple(rings: list[Line], box: Box) -> list[list[Line]]:
         while k in left:
             left.discard(k)
             shell += chains[k]
-            ways = [((starts[j] - stops[k]) % around, j) for j in (left | {first})]
+            ways = []
+            for j in left | {first}:
+                way = (starts[j] - stops[k]) % around
+                if way == 0 and _turn(chains[k][-2], chains[k][-1], _heading(chains[k][-1], box)) > _turn(chains[k][-2], chains[k][-1], (chains[j][1][0] - chains[j][0][0], chains[j][1][1] - chains[j][0][1])):
+                    way = around  # what is to the left lies along the border
+                ways.append((way, j))
             way, j = min(ways)
             shell += [p for _, p in sorted(((_place(p, box) - stops[k]) % around, p) for p in corners) if 0 < (_place(p, box) - stops[k]) % around < way]
             k = j
@@ -289,8 +313,9 @@ def _clip_simple(rings: list[Line], box: Box) -> list[list[Line]]:
             outlines.append(shell)
     out = [[s] for s in outlines]
     for h in holes:
+        inner = next((p for p in h if not _on_border(p, box)), h[0])
         for polygon in out:
-            if len(out) == 1 or in_ring(h[0], polygon[0]):
+            if len(out) == 1 or in_ring(inner, polygon[0]):
                 polygon.append(h)
                 break
     return out

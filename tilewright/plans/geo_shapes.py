@@ -114,6 +114,19 @@ def polygon_clip(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("feature_id").agg(F.round(F.sum(area), 8).alias("area2"))
 
 
+def polygon_clip_points(spark: SparkSession, d: str) -> DataFrame:
+    """For a point in each cell of the grid: whether it lies in what of the polygon the cell keeps."""
+    ship(spark)
+    f = table(spark, d, "features").where("geom.typ = 3 and size(flatten(geom.rings)) > 2").select("feature_id", "geom").dropDuplicates(["feature_id"])
+    f = f.withColumn("b", g.geom_bbox(F.col("geom"))).withColumn("w", F.col("b.maxx") - F.col("b.minx")).withColumn("h", F.col("b.maxy") - F.col("b.miny"))
+    f = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    x, y = F.col("b.minx") + F.col("i") * F.col("w") / 3, F.col("b.miny") + F.col("j") * F.col("h") / 3
+    f = f.withColumn("x", x + F.col("w") * 0.13).withColumn("y", y + F.col("h") * 0.17)
+    f = f.withColumn("parts", shapes.clip(F.col("geom"), g.bbox(x, y, x + F.col("w") / 3, y + F.col("h") / 3)))
+    inside = g.point_in_polygon(F.col("x"), F.col("y"), F.flatten(F.transform("parts", lambda p: p["rings"])))
+    return f.select("feature_id", "i", "j", inside.alias("inside"))
+
+
 def simplify(spark: SparkSession, d: str) -> DataFrame:
     """Vertices before and after simplification, and whether both ends stayed."""
     ship(spark)
@@ -166,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ring_area, ring_clockwise, ring_centroid, line_bbox, line_segments, line_closed, line_length, line_reverse, polygon_rewind, line_intersections,
-        line_extended, line_clip, line_clip_columns, polygon_clip, simplify, simplify_three, fix_winding, valid_topology, point_in_polygon, merge_lines,
+        line_extended, line_clip, line_clip_columns, polygon_clip, polygon_clip_points, simplify, simplify_three, fix_winding, valid_topology, point_in_polygon, merge_lines,
     )
 }
 
@@ -229,6 +242,13 @@ a AS (SELECT q.feature_id, q.no, e.no AS other FROM q JOIN e ON q.feature_id = e
   AND q.ring[1].x < (x2 - x1) * (q.ring[1].y - y1) / nullif(y2 - y1, 0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
 depth AS (SELECT feature_id, no, count(*) AS n FROM a GROUP BY ALL)
 SELECT feature_id, round(sum(abs({area_sql('ring')}) * CASE WHEN coalesce(n, 0) % 2 = 0 THEN 1 ELSE -1 END), 8) AS area2 FROM q LEFT JOIN depth USING (feature_id, no) GROUP BY feature_id""",
+    "polygon_clip_points": f"""WITH {_OUTER}, v AS (SELECT feature_id, rings, flatten(rings) AS v FROM poly),
+bx AS (SELECT feature_id, rings, list_min(list_transform(v, lambda p: p.x)) AS minx, list_max(list_transform(v, lambda p: p.x)) AS maxx, list_min(list_transform(v, lambda p: p.y)) AS miny, list_max(list_transform(v, lambda p: p.y)) AS maxy FROM v),
+pts AS (SELECT feature_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, minx + i * (maxx - minx) / 3 + (maxx - minx) * 0.13 AS x, miny + j * (maxy - miny) / 3 + (maxy - miny) * 0.17 AS y FROM bx, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(3)) AS j)),
+q AS (SELECT feature_id, unnest(rings) AS ring FROM bx),
+e AS (SELECT feature_id, ring[k].x AS x1, ring[k].y AS y1, ring[k % len(ring) + 1].x AS x2, ring[k % len(ring) + 1].y AS y2 FROM (SELECT *, unnest(range(1, len(ring) + 1)) AS k FROM q WHERE len(ring) > 2)),
+n AS (SELECT p.feature_id, i, j, count(*) AS n FROM pts p JOIN e ON p.feature_id = e.feature_id AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 GROUP BY ALL)
+SELECT feature_id, i, j, coalesce(n, 0) % 2 = 1 AS inside FROM pts LEFT JOIN n USING (feature_id, i, j)""",
     "valid_topology": f"""WITH p AS (SELECT row_number() OVER () AS r, feature_id, geom.rings AS rings FROM features WHERE geom.typ = 3 AND len(geom.rings) > 0),
 q AS (SELECT r, no, rings[no] AS ring FROM (SELECT r, rings, unnest(range(1, len(rings) + 1)) AS no FROM p)),
 e AS (SELECT r, no, i, ring[i].x AS x1, ring[i].y AS y1, ring[i % len(ring) + 1].x AS x2, ring[i % len(ring) + 1].y AS y2 FROM (SELECT *, unnest(range(1, len(ring) + 1)) AS i FROM q)),

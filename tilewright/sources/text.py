@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import geojson, shapes
+from tilewright.functions.geometry import area
 from tilewright.session import ship
 from tilewright.types import GEOM_DDL, PROPS_DDL, point_geom, string_props
 
@@ -18,7 +19,12 @@ RECORD_MARK = "\x1e"
 def _features(rows: DataFrame, feature: Column, srid: Column, keep: list[str] = []) -> DataFrame:
     f = rows.select(feature.alias("f"), srid.alias("srid"), *keep)
     out = f.select(F.explode(geojson.geometries(F.col("f.geometry"))).alias("geom"), geojson.properties(F.col("f.properties"), F.col("f.id")).alias("props"), "srid", *keep)
-    return out.withColumn("geom", F.when(F.col("geom.typ") == 3, shapes.fix_winding(F.col("geom"))).otherwise(F.col("geom")).cast(GEOM_DDL))
+    # one ring is turned here; only polygons of several go to Python, all else as null
+    rings = F.col("geom.rings")
+    several = (F.col("geom.typ") == 3) & (F.size(rings) > 1)
+    turned = F.transform(rings, lambda r: F.when(area(r) < 0, F.reverse(r)).otherwise(r))
+    single = F.struct(F.col("geom.typ").alias("typ"), F.when(F.col("geom.typ") == 3, turned).otherwise(rings).alias("rings")).cast(GEOM_DDL)
+    return out.withColumn("geom", F.coalesce(shapes.fix_winding(F.when(several, F.col("geom").cast(GEOM_DDL))), F.when(F.col("geom").isNotNull(), single)))
 
 
 def read_geojson(spark: SparkSession, path: str, srid: str | None = None) -> DataFrame:

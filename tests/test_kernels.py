@@ -61,6 +61,12 @@ def test_holes_at_the_border():
     assert len(part) == 2 and area([part]) == 2 * (14 * 18 - 50)
 
 
+def test_rings_that_cross_are_kept():
+    a, b = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(3.0, 3.0), (6.0, 3.0), (6.0, 6.0), (-1.0, 6.0), (-1.0, -1.0)]
+    for rings in ([a, b], [b, a], [[(3.0, 3.0), (9.0, 3.0), (9.0, 9.0), (3.0, 9.0)], [(4.0, 4.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0)]]):
+        assert sorted(p for part in geometry.shells(rings) for q in part for p in q) == sorted(rings[0] + rings[1])
+
+
 def test_vertices_at_the_border_against_points():
     """Rings with vertices of a small grid, so that many lie on the border: every point is inside as before."""
     r = random.Random(8)

@@ -223,8 +223,10 @@ def shells(rings: list[Line]) -> list[list[Line]]:
     out = {n: [r if signed_area2(r) > 0 else r[::-1]] for n, r in enumerate(rings) if len(around[n]) % 2 == 0}
     for n, r in enumerate(rings):
         owners = [m for m in around[n] if m in out]
-        if n not in out and owners:
-            out[max(owners, key=lambda m: len(around[m]))].append(r if signed_area2(r) < 0 else r[::-1])
+        if n not in out and out:  # rings that cross may have no owner; a hole of the first polygon keeps their parity
+            out[max(owners, key=lambda m: len(around[m])) if owners else min(out)].append(r if signed_area2(r) < 0 else r[::-1])
+        elif n not in out:
+            out[n] = [r if signed_area2(r) > 0 else r[::-1]]
     return list(out.values())
 
 

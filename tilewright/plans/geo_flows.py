@@ -10,12 +10,12 @@ from tilewright.functions import geometry as g
 from tilewright.functions import tiles as t
 from tilewright.operators import assembly, mapping, tiling
 from tilewright.operators.mapping import Rule, apply_rules
-from tilewright.plans.derived import CUSTOMERS, WAYS, area_sql, customers, lat_sql, lon_sql, osm_tables, part_features
+from tilewright.plans.derived import CUSTOMERS, SEGMENTS, WAYS, area_sql, customers, lat_sql, lon_sql, osm_tables, part_features, segments
 from tilewright.plans.geo_points import tx, ty
 from tilewright.session import scratch_path, ship, table
 from tilewright.sources import binary, formats, text
 from tilewright.streaming.features import converted, each_batch
-from tilewright.types import point_geom, prop, prop_text, props_key, string_props
+from tilewright.types import line_geom, point, point_geom, prop, prop_text, props_key, string_props
 
 RULES = """
 - src: {key: type, value: "*"}
@@ -149,6 +149,58 @@ def decoded_tiles(made: DataFrame) -> DataFrame:
     return made.mapInPandas(run, "z int, x int, y int, layer string, typ int, n_rings int, id bigint")
 
 
+def mvt_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and polygons within one tile at zoom 8, encoded and decoded again: layer, tags and vertices in the tile's grid.
+
+    Vertices of a line in their order, those of a polygon sorted, each once.
+    """
+    ship(spark)
+    box = g.geom_bbox(F.col("geom"))
+    f = table(spark, d, "features").where("(geom.typ = 2 and size(geom.rings) = 1 and size(array_distinct(geom.rings[0])) > 1) or (geom.typ = 3 and size(geom.rings) > 0 and forall(geom.rings, r -> size(array_distinct(r)) > 2))")
+    f = f.dropDuplicates(["feature_id"]).withColumn("b", box)
+    f = f.where((t.tile_x(F.col("b.minx"), 8) == t.tile_x(F.col("b.maxx"), 8)) & (t.tile_y(F.col("b.miny"), 8) == t.tile_y(F.col("b.maxy"), 8)))
+    f = f.where("b.minx >= -180 and b.maxx <= 180 and b.miny >= -85 and b.maxy <= 85")
+    layer = F.coalesce(F.col("props")["@layer"]["s"], F.lit("none"))
+    tags = F.create_map(F.lit("@layer"), prop("string", layer), F.lit("id"), prop("int", F.col("feature_id")), F.lit("half"), prop("double", F.col("feature_id") / 2), F.lit("kind"), prop("string", F.concat(F.lit("k"), F.col("geom.typ"))))
+
+    def run(frames):
+        import pandas as pd
+
+        from tilewright.kernels.mvt import decode_tile
+
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                shapes_of: dict = {}  # a polygon may come out in several parts
+                for name, found in decode_tile(bytes(r.data)).items():
+                    for typ, rings, props in found:
+                        v = shapes_of.setdefault((name, props["id"], props["half"], props["kind"], len(props), typ), [])
+                        v += [p for ring in rings for p in ring]
+                for (*head, typ), v in shapes_of.items():
+                    v = sorted(set(v)) if typ == 3 else [p for i, p in enumerate(v) if i == 0 or p != v[i - 1]]
+                    rows.append((r.z, r.x, r.y, *head, " ".join(f"{x},{y}" for x, y in v)))
+            yield pd.DataFrame(rows, columns=["z", "x", "y", "layer", "feature_id", "half", "kind", "n_tags", "vertices"])
+
+    made = tiling.vector_tiles(f.select("geom", tags.alias("props")), [8])
+    return made.mapInPandas(run, "z int, x int, y int, layer string, feature_id bigint, half double, kind string, n_tags int, vertices string")
+
+
+#: Keeps the derived places off the lines of the grid, where rounding decides.
+OFF = 0.00171
+
+
+def merged_tile_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Two pieces of each line, with equal properties, in their tile at zoom 0: joined end to start to one of three vertices."""
+    ship(spark)
+    c = segments(spark, d).where("x1 != x3 or y1 != y3")
+    piece = lambda i, j: F.array(*[point(F.col(f"x{k}") + OFF, F.col(f"y{k}") + OFF) for k in (i, j)])
+    f = c.select("c_custkey", F.explode(F.array(line_geom(piece(2, 3)), line_geom(piece(1, 2)))).alias("geom"))
+    f = f.select("geom", F.create_map(F.lit("id"), prop("int", F.col("c_custkey"))).alias("props"))
+    got = tiling.merged_parts(tiling.tile_parts(tiling.tile_rows(f, [0])))
+    v = F.array_join(F.transform(F.flatten("geom.rings"), lambda p: F.concat(p["x"].cast("int"), F.lit(","), p["y"].cast("int"))), " ")
+    return got.select(F.col("props")["id"]["i"].alias("c_custkey"), v.alias("vertices"))
+
+
 def mvt_point_commands(spark: SparkSession, d: str) -> DataFrame:
     """Command integers of each point in its tile at zoom 9."""
     ship(spark)
@@ -274,7 +326,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         map_static, map_dynamic, map_multi_match, map_wildcard, map_int_cast, map_default, poly_to_lines, zoom_filter, layer_assign, at_key_drop,
-        prop_buckets, count_features, union_concat, inspect_text, tiles_for_lines, mvt_tiles, mvt_point_counts, mvt_point_commands, tile_geojson,
+        prop_buckets, count_features, union_concat, inspect_text, tiles_for_lines, mvt_tiles, mvt_shapes, merged_tile_lines, mvt_point_counts, mvt_point_commands, tile_geojson,
         way_assembly, referenced_nodes, way_area_split, relation_rings, spatialize, wkb_roundtrip, twkb_roundtrip, geojson_roundtrip,
         geojsonseq_roundtrip, blocks_roundtrip, csv_points, stream_convert,
     )
@@ -305,6 +357,21 @@ _TILE9 = f"""t9 AS (SELECT *, {tx('lon', '9')} AS x, {ty('lat', '9')} AS y FROM
   ln(tan(pi() / 4 + radians(degrees(atan(sinh(pi() * (1 - 2.0 * (y + 1) / pow(2, 9)))))) / 2)) * 6378137.0 AS lo, ln(tan(pi() / 4 + radians(degrees(atan(sinh(pi() * (1 - 2.0 * y / pow(2, 9)))))) / 2)) * 6378137.0 AS hi FROM t9),
 p9 AS (SELECT c_custkey, CAST(trunc((mx - l) / (r - l) * 4096) AS BIGINT) AS px, 4096 - CAST(trunc((my - lo) / (hi - lo) * 4096) AS BIGINT) AS py FROM m9)"""
 
+
+
+def _grid(lon: str, lat: str, x: str, y: str, z: int) -> tuple[str, str]:
+    """Column and row of a position in the grid of a tile."""
+    mercator = lambda v: f"(ln(tan(pi() / 4 + radians({v}) / 2)) * 6378137.0)"
+    low, high = (mercator(f"degrees(atan(sinh(pi() * (1 - 2.0 * ({y} + {n}) / pow(2, {z})))))") for n in (1, 0))
+    left, right = (f"(radians(({x} + {n}) / pow(2, {z}) * 360.0 - 180.0) * 6378137.0)" for n in (0, 1))
+    px = f"TRY_CAST(trunc((radians({lon}) * 6378137.0 - {left}) / ({right} - {left}) * 4096) AS BIGINT)"
+    return px, f"(4096 - TRY_CAST(trunc(({mercator(lat)} - {low}) / ({high} - {low}) * 4096) AS BIGINT))"
+
+
+_GX, _GY = _grid("vt.x", "vt.y", "x", "y", 8)
+_AT = [_grid(f"(x{i} + {OFF}::DOUBLE)", f"(y{i} + {OFF}::DOUBLE)", "0", "0", 0) for i in (1, 2, 3)]
+_MANY = lambda r: f"len(list_distinct(list_transform({r}, lambda p: concat(p.x, ' ', p.y))))"
+
 SQL = {
     "map_static": "SELECT p_partkey, '@layer=string:parts n=int:3 ok=bool:true share=double:0.5' AS props FROM part WHERE p_type = 'ECONOMY'",
     "map_dynamic": f"SELECT p_partkey, {_DYNAMIC} AS props FROM part",
@@ -326,6 +393,18 @@ UNION ALL SELECT feature_id, '@layer=string:landcover __type=string:area class=s
     "tiles_for_lines": f"WITH {_covered([6, 10], 'typ IN (2, 3)')} SELECT z, x, y, layer, count(*) AS n FROM cv GROUP BY ALL",
     "tile_geojson": f"WITH {_covered([5], 'true')} SELECT x, y, CAST(count(*) AS INT) AS n FROM cv GROUP BY ALL",
     "mvt_point_counts": f"WITH {CUSTOMERS}, zz AS (SELECT unnest([3, 6]) AS z) SELECT z, {tx('lon', 'z')} AS x, {ty('lat', 'z')} AS y, c_mktsegment AS layer, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM pt, zz GROUP BY ALL",
+    "mvt_shapes": f"""WITH f AS (SELECT feature_id, any_value(geom.typ) AS typ, any_value(coalesce({_L}, 'none')) AS layer, any_value(geom.rings) AS rings FROM features
+  WHERE (geom.typ = 2 AND len(geom.rings) = 1 AND {_MANY("geom.rings[1]")} > 1) OR (geom.typ = 3 AND len(geom.rings) > 0 AND len(list_filter(geom.rings, lambda r: {_MANY("r")} <= 2)) = 0) GROUP BY feature_id),
+b AS (SELECT *, flatten(rings) AS v FROM f),
+c AS (SELECT *, list_min(list_transform(v, lambda p: p.x)) AS minx, list_max(list_transform(v, lambda p: p.x)) AS maxx, list_min(list_transform(v, lambda p: p.y)) AS miny, list_max(list_transform(v, lambda p: p.y)) AS maxy FROM b),
+k AS (SELECT *, {tx('minx', '8')} AS x, {ty('maxy', '8')} AS y FROM c WHERE minx >= -180 AND maxx <= 180 AND miny >= -85 AND maxy <= 85 AND NOT isnan(minx + maxx + miny + maxy) AND {tx('minx', '8')} = {tx('maxx', '8')} AND {ty('miny', '8')} = {ty('maxy', '8')}),
+p AS (SELECT feature_id, typ, layer, x, y, unnest(v) AS vt, unnest(range(len(v))) AS i FROM k),
+q AS (SELECT feature_id, typ, layer, x, y, i, {_GX} AS px, {_GY} AS py FROM p),
+u AS (SELECT *, lag(px) OVER w IS NOT DISTINCT FROM px AND lag(py) OVER w IS NOT DISTINCT FROM py AS again FROM q WINDOW w AS (PARTITION BY feature_id ORDER BY i)),
+ln AS (SELECT feature_id, string_agg(concat(px, ',', py), ' ' ORDER BY i) AS vertices FROM u WHERE typ = 2 AND NOT again GROUP BY feature_id),
+pg AS (SELECT feature_id, string_agg(concat(px, ',', py), ' ' ORDER BY px, py) AS vertices FROM (SELECT DISTINCT feature_id, px, py FROM q WHERE typ = 3) GROUP BY feature_id)
+SELECT 8 AS z, x, y, layer, feature_id, feature_id / 2 AS half, concat('k', typ) AS kind, 3 AS n_tags, vertices FROM k JOIN (SELECT * FROM ln UNION ALL SELECT * FROM pg) USING (feature_id)""",
+    "merged_tile_lines": f"WITH {SEGMENTS} SELECT c_custkey, concat({", ' ', ".join(f'{a}, chr(44), {b}' for a, b in _AT)}) AS vertices FROM sg WHERE x1 <> x3 OR y1 <> y3",
     "mvt_point_commands": f"WITH {CUSTOMERS}, {_TILE9} SELECT c_custkey, concat('9 ', {_ZIG('px')}, ' ', {_ZIG('py')}) AS commands FROM p9",
     "way_assembly": f"WITH {WAYS} SELECT id AS way_id, CAST(coalesce(len(line), 0) AS INT) AS n, CASE WHEN len(line) > 0 THEN round({area_sql('line')}, 4) END AS area2 FROM wl",
     "referenced_nodes": "SELECT DISTINCT l_partkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'",

@@ -120,7 +120,7 @@ def test_streams(spark, tmp_path):
     assert formats.read_features(spark, str(tmp_path / "out"), "featureblocks").count() == 2
 
 
-def test_programs(spark, tmp_path, capsys):
+def test_programs(spark, tmp_path, capsys, monkeypatch):
     from tilewright.__main__ import box, main, zooms
 
     assert zooms("3, 1,,3") == [1, 3] and box("1,2,3,4") == (1, 2, 3, 4)
@@ -130,6 +130,15 @@ def test_programs(spark, tmp_path, capsys):
     (tmp_path / "p.csv").write_text("name,south,east\nx,1.5,2.5\ny,-1,0\n")
     main(["convert", "--in", f"{tmp_path}/p.csv,{tmp_path}/a.geojson", "--out", f"{tmp_path}/mixed.geojsonseq"], spark)
     assert formats.read_features(spark, f"{tmp_path}/mixed.geojsonseq").count() == formats.read_features(spark, f"{tmp_path}/a.geojson").count() + 2
+    import io
+    import types
+
+    capsys.readouterr()
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO((tmp_path / "a.geojson").read_bytes())))
+    main(["convert", "--in", "-", "--in-codec", "geojson", "--out", "-", "--out-codec", "geojson", "--mapping", f"{tmp_path}/m.yml"], spark)
+    assert [f["properties"] for f in json.loads(capsys.readouterr().out)["features"]] == [{"b": "b"}] * 2 + [{"b": "c"}] * 2
+    with pytest.raises(SystemExit):
+        main(["convert", "--in", "-", "--out", "-"], spark)
     main(["inspect", f"{tmp_path}/o.blocks"], spark)
     assert len(capsys.readouterr().out.splitlines()) == 8
     main(["tile", "--in", f"{tmp_path}/o.blocks", "--out", f"{tmp_path}/tiles", "--zoom", "0,2", "--bbox=-10,-10,10,10"], spark)

@@ -29,8 +29,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tilewright")
     sub = p.add_subparsers(dest="program", required=True)
     c = sub.add_parser("convert", help="read, filter and map features, write another format")
-    c.add_argument("--in", dest="inputs", required=True, help="files or folders, separated by commas")
-    c.add_argument("--out", required=True)
+    c.add_argument("--in", dest="inputs", required=True, help="files or folders, separated by commas; - is standard input")
+    c.add_argument("--out", required=True, help="file or folder; - is standard output")
+    c.add_argument("--out-codec", choices=["geojson", "geojsonseq"], default="geojsonseq", help="format of standard output")
     c.add_argument("--mapping", help="YAML rules")
     c.add_argument("--in-codec", help="format of the inputs where their names do not tell")
     c.add_argument("--csv-lat", type=int, default=1)
@@ -64,7 +65,15 @@ def main(args: list[str], spark: SparkSession | None = None) -> None:
             rules = parse_rules(f.read())
     if a.program == "convert":
         inputs = a.inputs.split(",")
-        formats.convert(spark, inputs, a.out, rules, a.in_codec, {"csv": {"lat": a.csv_lat, "lon": a.csv_lon, "sep": a.csv_delimiter}})
+        options = {"csv": {"lat": a.csv_lat, "lon": a.csv_lon, "sep": a.csv_delimiter}}
+        kind = a.in_codec and formats.EXTENSIONS.get(a.in_codec, a.in_codec)
+        if "-" in inputs and not kind:
+            raise SystemExit("standard input needs --in-codec")
+        inputs = [formats.take_in(spark, sys.stdin.buffer, kind) if i == "-" else i for i in inputs]
+        if a.out == "-":
+            formats.put_out(formats.converted(spark, inputs, rules, kind, options), sys.stdout, a.out_codec)
+        else:
+            formats.convert(spark, inputs, a.out, rules, kind, options)
     elif a.program == "spatialize":
         formats.write_features(formats.spatialize(spark, a.input, rules), a.out)
     elif a.program == "tile":

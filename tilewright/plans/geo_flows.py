@@ -106,10 +106,14 @@ def count_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def union_concat(spark: SparkSession, d: str) -> DataFrame:
-    """Features of two inputs, each row once."""
-    f = table(spark, d, "features").select("geom", "props", "srid")
+    """Features of two inputs of different formats, each row once."""
+    ship(spark)
+    f = _whole(spark, d)
     c = customers(spark, d).select(point_geom("lon", "lat").alias("geom"), F.create_map(F.lit("@layer"), prop("string", F.col("c_mktsegment"))).alias("props"), F.lit("4326").alias("srid"))
-    return f.unionByName(c).groupBy("srid").agg(F.count(F.lit(1)).alias("n"))
+    paths = [scratch_path(spark, "one") + ".blocks", scratch_path(spark, "two") + ".geojsonseq"]
+    for part, path in zip((f, c), paths, strict=True):
+        formats.write_features(part, path)
+    return formats.concatenated(spark, paths).groupBy(g.type_name(F.col("geom.typ")).alias("kind"), "srid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def inspect_text(spark: SparkSession, d: str) -> DataFrame:
@@ -388,7 +392,7 @@ UNION ALL SELECT feature_id, '@layer=string:landcover __type=string:area class=s
     "at_key_drop": "SELECT feature_id, CAST(coalesce(len(list_filter(map_keys(props), lambda k: NOT starts_with(k, '@'))), 0) AS INT) AS n FROM features",
     "prop_buckets": f"SELECT min(feature_id) AS first_id, count(*) AS n FROM (SELECT feature_id, {_L} AS l, {_Z} AS z FROM features WHERE props IS NOT NULL) GROUP BY l, z",
     "count_features": f"SELECT {_KIND} AS kind, count(*) AS n FROM (SELECT geom.typ AS typ FROM features) GROUP BY kind",
-    "union_concat": "SELECT srid, count(*) AS n FROM (SELECT srid FROM features UNION ALL SELECT '4326' FROM customer) GROUP BY srid",
+    "union_concat": f"SELECT {_KIND} AS kind, '4326' AS srid, count(*) AS n FROM (SELECT typ FROM ({_WHOLE}) UNION ALL SELECT 1 FROM customer) GROUP BY kind",
     "inspect_text": f"""SELECT concat('Point brand=', p_brand, ' size=', p_size, ' type=', p_type, ' (X: ', regexp_replace(CAST({lon_sql('p_partkey')} AS VARCHAR), '[.]0$', ''), ', Y: ', regexp_replace(CAST({lat_sql('p_partkey')} AS VARCHAR), '[.]0$', ''), ')') AS value FROM part""",
     "tiles_for_lines": f"WITH {_covered([6, 10], 'typ IN (2, 3)')} SELECT z, x, y, layer, count(*) AS n FROM cv GROUP BY ALL",
     "tile_geojson": f"WITH {_covered([5], 'true')} SELECT x, y, CAST(count(*) AS INT) AS n FROM cv GROUP BY ALL",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import geom_text, type_name
 from tilewright.operators import assembly, mapping, tiling
+from tilewright.session import scratch_path
 from tilewright.sources import binary, text
 from tilewright.types import prop_text
 
@@ -57,8 +59,39 @@ def concatenated(spark: SparkSession, paths: list[str], kind: str | None = None,
     return reduce(DataFrame.unionByName, [read_features(spark, p, k, **(options or {}).get(k, {})) for p, k in zip(paths, kinds, strict=True)])
 
 
+def converted(spark: SparkSession, inputs: list[str], rules: list[mapping.Rule] | None = None, kind: str | None = None, options: dict[str, dict] | None = None) -> DataFrame:
+    return mapping.apply_rules(concatenated(spark, inputs, kind, options), rules or [])
+
+
 def convert(spark: SparkSession, inputs: list[str], out: str, rules: list[mapping.Rule] | None = None, kind: str | None = None, options: dict[str, dict] | None = None) -> None:
-    write_features(mapping.apply_rules(concatenated(spark, inputs, kind, options), rules or []), out)
+    write_features(converted(spark, inputs, rules, kind, options), out)
+
+
+def take_in(spark: SparkSession, stream, kind: str) -> str:
+    """What a byte stream (such as standard input) holds, stored in the shared folder, where every executor can read it; its path."""
+    suffix = next(k for k, v in EXTENSIONS.items() if v == kind)
+    path = f"{scratch_path(spark, 'input')}.{suffix}"
+    where, p = binary.file_system(path)
+    where.create_dir(p.rsplit("/", 1)[0], recursive=True)
+    with where.open_output_stream(p) as f:
+        shutil.copyfileobj(stream, f)
+    return path
+
+
+def put_out(features: DataFrame, stream, kind: str = "geojsonseq") -> None:
+    """Features as text to a stream (such as standard output), partition after partition, as a sequence or one collection."""
+    rows = (r.value for r in text.feature_text(features.select("geom", "props", "srid")).toLocalIterator())
+    if kind == "geojsonseq":
+        for value in rows:
+            stream.write(f"{text.RECORD_MARK}{value}\n")
+    elif kind == "geojson":
+        lead = '{"type":"FeatureCollection","features":['
+        for value in rows:
+            stream.write(f"{lead}{value}\n")
+            lead = ","
+        stream.write(("" if lead == "," else lead) + "]}\n")
+    else:
+        raise ValueError(f"cannot write {kind} to a stream of text")
 
 
 def spatialize(spark: SparkSession, extract: str, rules: list[mapping.Rule] | None = None) -> DataFrame:

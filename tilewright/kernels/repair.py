@@ -18,6 +18,8 @@ START, JOIN, PLAIN, QUOTED, CLOSED = range(5)
 NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
 #: What a number may begin with.
 BEGUN = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?(?:(?<=[0-9])[eE](?:[+-]?[0-9]*))?)?\Z")
+#: Valid quoting.
+VALID = re.compile(r'(?s)(?:"(?:[^"]|"")*"|[^\t"]*)(?:\t(?:"(?:[^"]|"")*"|[^\t"]*))*')
 REASONS = ("quoting", "column_count", "latitude", "longitude")
 #: The state behind a quote that is read or inserted; a plain field takes none.
 QUOTE = {START: QUOTED, JOIN: QUOTED, QUOTED: CLOSED, CLOSED: QUOTED}
@@ -144,7 +146,8 @@ def repair(line: str, width: int, checks: dict[int, float]) -> tuple[int, int, i
     """
     tokens = _tokens(line)
     costs = _quote_costs(tokens)
-    most, found = 0, None
+    # valid quoting leaves the fields as they are, so their number tells the delimiter edits
+    most, found = 0 if costs[0][START] else abs(len(split_valid(line)) - width), None
     while found is None:
         found = _fit(line, tokens, costs, width, checks, most)
         most = 2 * most + 1
@@ -158,10 +161,10 @@ def repair(line: str, width: int, checks: dict[int, float]) -> tuple[int, int, i
 
 def parse(line: str, width: int, checks: dict[int, float], names: dict[int, str]) -> tuple[list[str] | None, str | None, str | None]:
     """(fields, reason, edits): fields of a zero-cost line, else the reason and all edits of the cheapest repair as text."""
-    quotes, delimiters, wrong, edits = repair(line, width, checks)
-    if quotes or delimiters:
+    fields = split_valid(line) if VALID.fullmatch(line) else None
+    if fields is None or len(fields) != width:
+        quotes, delimiters, wrong, edits = repair(line, width, checks)
         said = [f"{op} @{at}" for op, at in edits] + ([f"{wrong} of a wrong type"] if wrong else [])
         return None, REASONS[0] if quotes else REASONS[1], ", ".join(said)
-    fields = split_valid(line)
     bad = [names[c] for c, limit in checks.items() if not in_range(fields[c], limit)]
     return (None, bad[0], ", ".join(f"type {n}" for n in bad)) if bad else (fields, None, None)

@@ -112,16 +112,37 @@ def clip(g: Column, box: Column) -> Column:
     """Array of geometries of the same type: what of the geometry lies in the closed box. A null geometry or box gives an empty array."""
 
     def run(geoms: pa.Array, boxes: pa.Array) -> pa.Array:
-        out, sizes = [], []
-        for r, b in zip(unpack(geoms), boxes.to_pylist(), strict=True):
+        rows = np.flatnonzero(~beside(geoms, boxes))
+        out, sizes = [], np.zeros(len(geoms), np.int64)
+        for i, r, b in zip(rows.tolist(), unpack(geoms.take(pa.array(rows))), boxes.take(pa.array(rows)).to_pylist(), strict=True):
             parts = [] if r is None or b is None else clip_rings(*r, (b["minx"], b["miny"], b["maxx"], b["maxy"]))
             out += [(r[0], p) for p in parts]
-            sizes.append(len(parts))
-        return pa.ListArray.from_arrays(_offsets(sizes), pack(out))
+            sizes[i] = len(parts)
+        return pa.ListArray.from_arrays(_offsets(sizes.tolist()), pack(out))
 
     return F.arrow_udf(run, f"array<{GEOM_DDL}>")(g, box)
 
 
+def beside(geoms: pa.Array, boxes: pa.Array) -> np.ndarray:
+    """Rows whose vertices all lie beyond one side of their box; a row with a coordinate that is no number is none."""
+    _, rings = geoms.flatten()
+    lines = rings.flatten()
+    if pa.types.is_null(lines.type) or not len(lines):
+        return np.zeros(len(geoms), bool)
+    lengths = lambda a: pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    size = np.bincount(np.repeat(np.arange(len(geoms)), lengths(rings)), weights=lengths(lines), minlength=len(geoms)).astype(np.int64)
+    some = np.flatnonzero(size)
+    out = np.zeros(len(geoms), bool)
+    if not len(some):
+        return out
+    first = (np.cumsum(size) - size)[some]
+    low_x, low_y, high_x, high_y = (np.asarray(v.to_numpy(zero_copy_only=False), np.float64)[some] for v in boxes.flatten())
+    for values, low, high in zip(lines.flatten().flatten(), (low_x, low_y), (high_x, high_y), strict=True):
+        v = np.asarray(values.to_numpy(zero_copy_only=False), np.float64)
+        out[some] |= (np.maximum.reduceat(v, first) < low) | (np.minimum.reduceat(v, first) > high)
+    return out
+
+
 def clip_rings(typ: int, rings: Rings, box) -> list[Rings]:
     """Parts, each as rings."""
     if typ == 1:

@@ -16,7 +16,7 @@ from tilewright.functions import shapes, tiles
 from tilewright.functions.geojson import feature_json
 from tilewright.session import ship
 from tilewright.sources.binary import file_system
-from tilewright.types import point, props_key
+from tilewright.types import GEOM_DDL, point, props_key
 
 #: Zoom range of a feature without its own.
 MIN_ZOOM, MAX_ZOOM = 0, 99
@@ -125,7 +125,12 @@ def tile_parts(rows: DataFrame, geom: str = "geom") -> DataFrame:
     projected = g.project(F.col(geom)["rings"], lambda p: tiles.tile_point(p["x"], p["y"], b["minx"], b["miny"], b["maxx"], b["maxy"]))
     out = box.withColumn(geom, F.struct(F.col(geom)["typ"].alias("typ"), projected.alias("rings")))
     grid = g.bbox(0.0, 0.0, float(tiles.EXTENT), float(tiles.EXTENT))
-    return out.withColumn(geom, F.explode(shapes.clip(F.col(geom), grid))).drop("_b")
+    # points need no clipping, just a test; they go to the clipper as null
+    is_point, p = F.col(geom)["typ"] == 1, F.get(F.get(F.col(geom)["rings"], F.lit(0)), F.lit(0))
+    none = F.array().cast(f"array<{GEOM_DDL}>")
+    inside = F.when(g.in_bbox(p["x"], p["y"], grid), F.array(F.col(geom).cast(GEOM_DDL))).otherwise(none)
+    parts = F.when(is_point, inside).otherwise(shapes.clip(F.when(~is_point, F.col(geom).cast(GEOM_DDL)), grid))
+    return out.withColumn(geom, F.explode(parts)).drop("_b")
 
 
 def merged_parts(parts: DataFrame, geom: str = "geom", props: str = "props") -> DataFrame:
